@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexspark.llm import knn
+from lexspark.llm import knn, leak
 
 
 def queries() -> dict:
-    return {"p3_found": knn.p3_found}
+    return {"p3_found": knn.p3_found, "p8_found": leak.p8_found}
 
 
 def oracle_sql() -> dict:
