@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexspark.llm import knn, leak
+from lexspark.llm import knn, leak, mojibake
 
 
 def queries() -> dict:
-    return {"p3_found": knn.p3_found, "p8_found": leak.p8_found}
+    return {"p3_found": knn.p3_found, "p8_found": leak.p8_found, "p9_found": mojibake.p9_found}
 
 
 def oracle_sql() -> dict:
