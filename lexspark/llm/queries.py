@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lexspark.llm import knn, leak, mojibake
+from lexspark.llm import knn, leak, mojibake, split
 
 
 def queries() -> dict:
-    return {"p3_found": knn.p3_found, "p8_found": leak.p8_found, "p9_found": mojibake.p9_found}
+    return {"p1_found": split.p1_found, "p1_pieces": split.p1_pieces, "p3_found": knn.p3_found, "p8_found": leak.p8_found, "p9_found": mojibake.p9_found}
 
 
 def oracle_sql() -> dict:
