@@ -200,37 +200,54 @@ def defined_terms(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)所稱\s*([\x{3400}-\x{9fff}A-Za-z0-9（）()]{2,24}?)\s*(?:，|、|：|:|係指|是指)"), 1))
 
 
-def definition_score(query: Column, content: Column) -> Column:
+def query_side(c: Column) -> Column:
+    """What scoring needs of a query, once a query: its terms, objects asked for, whether and how it asks for a definition, article."""
+    t = lexical_terms(c)
+    return F.struct(
+        F.when(F.size(t) > 0, t).otherwise(F.array(F.lower(c))).alias("terms"),
+        F.transform(focus_terms(c), F.lower).alias("focus"),
+        is_definition_query(c).alias("defines"),
+        has_any(c, DEFINITION_MARKERS).alias("explicit"),
+        F.regexp_replace(c, r"[^\x{3400}-\x{9fff}]", "").alias("run"),
+        article_hint(c).alias("article"),
+    )
+
+
+def provision_side(title: Column, label: Column, heading: Column, content: Column) -> Column:
+    """What scoring needs of a provision, once a provision: its terms by field, all its text, the terms it defines, its label."""
+    terms = lambda c: lexical_terms(F.coalesce(c, F.lit("")))
+    return F.struct(
+        terms(content).alias("content"),
+        terms(heading).alias("heading"),
+        terms(title).alias("title"),
+        F.lower(F.concat_ws(" ", title, label, heading, content)).alias("text"),
+        defined_terms(content).alias("defined"),
+        canonical_label(label).alias("article"),
+    )
+
+
+def definition_score(q: Column, p: Column) -> Column:
     """1 where the text defines a term of the query, 0.55 where it defines another and the query asks for a definition, else 0."""
-    run, terms = F.regexp_replace(query, r"[^\x{3400}-\x{9fff}]", ""), defined_terms(content)
     return (
-        F.when((F.size(terms) == 0) | ~is_definition_query(query), 0.0)
-        .when(F.exists(terms, lambda t: F.contains(run, t)), 1.0)
-        .when(has_any(query, DEFINITION_MARKERS), 0.55)
+        F.when((F.size(p["defined"]) == 0) | ~q["defines"], 0.0)
+        .when(F.exists(p["defined"], lambda t: F.contains(q["run"], t)), 1.0)
+        .when(q["explicit"], 0.55)
         .otherwise(0.0)
     )
 
 
-def overlap(query_terms: Column, text: Column) -> Column:
-    """The share of the query's terms that occur in the text."""
-    return F.when(F.size(query_terms) > 0, F.size(F.array_intersect(query_terms, lexical_terms(F.coalesce(text, F.lit("")))))  / F.size(query_terms)).otherwise(0.0)
-
-
-def lexical_score(query: Column, title: Column, label: Column, heading: Column, content: Column, terms: Column | None = None) -> Column:
-    """How well a provision's words answer a query, from 0 to 1."""
-    t = lexical_terms(query) if terms is None else terms
-    t = F.when(F.size(t) > 0, t).otherwise(F.array(F.lower(query)))
-    everything = F.lower(F.concat_ws(" ", title, label, heading, content))
-    hint = article_hint(query)
+def lexical_score(q: Column, p: Column) -> Column:
+    """How well a provision's words answer a query, from 0 to 1, of ``query_side`` and ``provision_side``."""
+    share = lambda t: F.size(F.array_intersect(q["terms"], t)) / F.size(q["terms"])
     return F.least(
         F.lit(1.0),
         F.greatest(
-            overlap(t, content),
-            overlap(t, heading) * 0.9,
-            overlap(t, title) * 0.8,
-            F.when(F.exists(focus_terms(query), lambda x: F.contains(everything, F.lower(x))), 1.0).otherwise(0.0),
-            definition_score(query, content),
-            F.when(hint.isNotNull() & (canonical_label(label) == hint), 1.0).otherwise(0.0),
+            share(p["content"]),
+            share(p["heading"]) * 0.9,
+            share(p["title"]) * 0.8,
+            F.when(F.exists(q["focus"], lambda x: F.contains(p["text"], x)), 1.0).otherwise(0.0),
+            definition_score(q, p),
+            F.when(q["article"].isNotNull() & q["article"].eqNullSafe(p["article"]), 1.0).otherwise(0.0),
         ),
     )
 
@@ -247,10 +264,20 @@ def is_primary_statute(title: Column) -> Column:
     return t.endswith("條例") | (t.endswith("法") & ~t.endswith("辦法"))
 
 
+def trigrams(c: Column) -> Column:
+    """The distinct runs of three characters of a text in small letters, with two blanks before and one behind."""
+    return F.array_distinct(grams(F.concat(F.lit("  "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" ")), 3))
+
+
+def set_similarity(a: Column, b: Column) -> Column:
+    """Shared elements by all of either, of two arrays of distinct elements."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
-    """Shared runs of three characters by all of either, of the texts in small letters with two blanks before and one behind."""
-    ga, gb = (F.array_distinct(grams(F.concat(F.lit("  "), F.lower(F.coalesce(x, F.lit(""))), F.lit(" ")), 3)) for x in (a, b))
-    return F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
+    """Shared runs of three characters by all of either text."""
+    return set_similarity(trigrams(a), trigrams(b))
 
 
 def roc_date(c: Column, labels: Sequence[str] = ("發布日期", "公布日期", "修正日期", "公告日期", "發文日期")) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.functions import text as X
+from lexspark.runtime import cut
 
 K1, B = 1.2, 0.75
 #: Candidates by BM25, weight of the hash vectors, gain for a matched title.
@@ -70,9 +71,13 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Scalar product of two arrays of numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers; 0 where either is all zero."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
@@ -194,18 +199,22 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, candidates: int =
     titles = matched_titles(q, chunks.select(F.col("law_title").alias("title")))
     top = bm25_topk(q.select("query_id", F.col("lex").alias("query")), chunks, "chunk_id", ["law_title", "article_label", "heading", "content"], candidates).select("query_id", F.col("doc").alias("chunk_id"))
     by_title = chunks.select("chunk_id", "law_title").join(small(titles), chunks.law_title == titles.title).select("query_id", "chunk_id")
-    pairs = top.unionByName(by_title).distinct()
+    pairs = cut(top.unionByName(by_title).distinct())  # ids only; read several times below
     lost = q.select("query_id").join(pairs.select("query_id").distinct(), "query_id", "left_anti")
     pairs = pairs.unionByName(chunks.select("chunk_id").join(small(lost), F.lit(True)).select("query_id", "chunk_id"))
-    embedded = q.withColumn("qv", hash_embedding(F.col("query"), dim))
-    full = pairs.join(chunks, "chunk_id").join(small(embedded), "query_id").join(small(titles.withColumn("named", F.lit(True))).withColumnRenamed("title", "law_title"), ["query_id", "law_title"], "left")
-    full = full.withColumn("cv", F.col(vectors) if vectors else hash_embedding(F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content"), dim))
-    vec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("qv"), F.col("cv"))))
-    if lexical == "trigram":
-        lex = F.greatest(X.trigram_similarity(F.col("content"), F.col("lex")), X.trigram_similarity(F.col("law_title"), F.col("lex")), X.trigram_similarity(F.concat(F.col("law_title"), F.coalesce("article_label", F.lit(""))), F.col("lex")))
+    # Everything that depends on the query or the provision alone is computed once for each, before they are paired.
+    by_words = lexical != "trigram"
+    asked = q.withColumns({"qv": hash_embedding(F.col("query"), dim), "qs": X.query_side(F.col("lex")) if by_words else X.trigrams(F.col("lex"))})
+    text = F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
+    told = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    told = told.withColumns({"cv": F.col(vectors) if vectors else hash_embedding(text, dim), "ps": X.provision_side(F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content")) if by_words else F.array(*map(X.trigrams, (F.col("content"), F.col("law_title"), F.concat("law_title", F.coalesce("article_label", F.lit(""))))))})
+    full = pairs.join(told, "chunk_id").join(small(asked), "query_id").join(small(titles.withColumn("named", F.lit(True))).withColumnRenamed("title", "law_title"), ["query_id", "law_title"], "left")
+    vec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("qv"), F.col("cv")) if vectors else dot(F.col("qv"), F.col("cv"))))
+    if by_words:
+        lex = F.least(F.lit(1.0), X.lexical_score(F.col("qs"), F.col("ps")) + F.when(F.col("named"), TITLE_BOOST).otherwise(0.0))
     else:
-        lex = F.least(F.lit(1.0), X.lexical_score(F.col("lex"), F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content")) + F.when(F.col("named"), TITLE_BOOST).otherwise(0.0))
-    scored = full.withColumns({"vector_score": F.round(vec, 6), "lexical_score": F.round(lex, 6)}).drop("qv", "cv", "named", "query", "lex")
+        lex = F.greatest(*(X.set_similarity(F.col("ps")[i], F.col("qs")) for i in range(3)))
+    scored = full.withColumns({"vector_score": F.round(vec, 6), "lexical_score": F.round(lex, 6)}).drop("qv", "cv", "named", "query", "lex", "qs", "ps")
     scored = scored.withColumn("hybrid_score", F.round(F.col("vector_score") * weight + F.col("lexical_score") * (1 - weight), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "chunk_id")
     return scored.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).withColumn("retrieval_mode", F.lit("hybrid"))
