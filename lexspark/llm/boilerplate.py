@@ -151,6 +151,7 @@ def features(page: list[tuple[str, tuple[str, ...]]]) -> list[list[str]]:
         f += ["stop&words"] * ("stop" in own and bool({"copy", "counts", "screen", "draft"} & set(own)))
         f += ["plainshort"] * (not ({"stop", "colon", "bracket", "comma", "article", "point", "sub", "chapter", "name", "date", "office"} & set(own)))
         f += ["after open"] * ("open" in before and "stop" not in before)
+        f += ["item&end"] * (bool({"article", "point", "sub"} & set(own)) and bool({"stop", "colon", "deleted"} & set(own)))
         f += ["cookie&must"] * ("cookie" in own and "者應" in s)
         f += ["again"] * (often[s] > 1)
         out.append(f)
