@@ -66,7 +66,8 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     weighted = tf.join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))  # one row
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = weighted.select("doc", "term", weight.alias("w")).join(small(want, 400_000), "term").groupBy("query_id", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    # Decimals add up the same in any order.
+    hits = weighted.select("doc", "term", weight.cast("decimal(20,9)").alias("w")).join(small(want, 400_000), "term").groupBy("query_id", "doc").agg(F.round(F.sum("w").cast("double"), 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 

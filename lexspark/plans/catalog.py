@@ -295,14 +295,14 @@ q80 AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY qu
 dl AS (SELECT doc, count(*) AS dl FROM ix GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT term, doc, count(*) AS tf FROM ix WHERE term IN (SELECT term FROM q80) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT tf.doc, tf.term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (term) JOIN dl USING (doc), st),
-sc AS (SELECT query_id, doc, round(sum(w), 6) AS score FROM w JOIN q80 USING (term) GROUP BY 1, 2),
+sc AS (SELECT query_id, doc, round(sum(CAST(w AS DECIMAL(20,9)))::DOUBLE, 6) AS score FROM w JOIN q80 USING (term) GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc))
 """
 
 
-@query(f"WITH {_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql('cur', 'chunk_id', ['article_label', 'heading', 'content'])}, {_BM25} SELECT query_id, doc, rank, round(score, 4) AS score FROM top WHERE rank <= 8")
+@query(f"WITH {_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql('cur', 'chunk_id', ['article_label', 'heading', 'content'])}, {_BM25} SELECT query_id, doc, rank, score FROM top WHERE rank <= 8")
 def bm25_topk(spark, d):
-    return R.bm25_topk(_asked(spark, d), _current(spark, d), "chunk_id", ["article_label", "heading", "content"], 8).select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
+    return R.bm25_topk(_asked(spark, d), _current(spark, d), "chunk_id", ["article_label", "heading", "content"], 8).select("query_id", "doc", "rank", "score")
 
 
 @query(

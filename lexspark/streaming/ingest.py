@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,7 +25,8 @@ def upsert_stream(stream: DataFrame, root: str, checkpoint: str, available_now:
         w = Window.partitionBy("source_key").orderBy(F.desc("fetched_at"), F.desc("content_hash"))
         last = rows.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
         laws, versions = apply_upsert(last, read_snapshot(spark, root, "laws"), read_snapshot(spark, root, "law_versions"))
-        write_snapshot({"laws": laws, "law_versions": versions}, root, f"batch-{n}")
+        # Another folder each time: a batch that runs again may read what it wrote before.
+        write_snapshot({"laws": laws, "law_versions": versions}, root, f"batch-{n}-{uuid4().hex[:8]}")
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
