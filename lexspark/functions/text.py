@@ -121,7 +121,7 @@ def article_hints(c: Column) -> Column:
 def article_hint(c: Column) -> Column:
     """The one article that a query names; null if it names none or several."""
     h = article_hints(c)
-    return F.when(F.size(h) == 1, F.element_at(h, 1))
+    return F.when(F.size(h) == 1, F.try_element_at(h, F.lit(1)))
 
 
 def normalize_query(c: Column) -> Column:
@@ -290,7 +290,7 @@ def roc_date(c: Column, labels: Sequence[str] = ("發布日期", "公布日期",
         y = p[0].cast("int")
         return F.try_to_date(F.concat_ws("-", F.lpad(F.when(y < 1911, y + 1911).otherwise(y).cast("string"), 4, "0"), F.lpad(p[1], 2, "0"), F.lpad(p[2], 2, "0")), "yyyy-MM-dd")
 
-    return F.element_at(F.concat(F.filter(F.transform(found, parse), lambda d: d.isNotNull()), F.array(F.lit(None).cast("date"))), 1)
+    return F.try_element_at(F.concat(F.filter(F.transform(found, parse), lambda d: d.isNotNull()), F.array(F.lit(None).cast("date"))), F.lit(1))
 
 
 def token_estimate(c: Column) -> Column:

@@ -23,7 +23,7 @@ def parameters(url: Column) -> Column:
 def parameter(url: Column, name: str) -> Column:
     """The first value of a parameter, whatever its letters' case; null if there is none or it is empty."""
     found = F.filter(parameters(url), lambda p: (p["name"] == name.lower()) & (p["value"] != ""))
-    return F.when(F.size(found) > 0, F.element_at(found, 1)["value"])
+    return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(1))["value"])
 
 
 def lsid(url: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.functions import text as X
-from lexspark.runtime import cut
+from lexspark.runtime import cut, tasks
 
 K1, B = 1.2, 0.75
 #: Candidates by BM25, weight of the hash vectors, gain for a matched title.
@@ -32,7 +32,8 @@ def current_chunks(chunks: DataFrame, versions: DataFrame, laws: DataFrame, vect
     newest = v.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
     law = laws.select("law_id", F.regexp_replace("title", r"(?U)^\s+|\s+$", "").alias("law_title"), "category", "source_url").dropDuplicates(["law_id"])
     cols = ["chunk_id", "version_id", "seq", "article_label", "heading", "content"] + ["embedding"] * vectors
-    return chunks.select(*cols).join(newest, "version_id").join(law, "law_id").dropDuplicates(["chunk_id"])
+    full = chunks.select(*cols).join(newest, "version_id").join(law, "law_id")
+    return full.repartition(tasks(chunks.sparkSession), "chunk_id").dropDuplicates(["chunk_id"])  # one exchange for both
 
 
 def source_type(category: Column, own: str = "消防署函釋") -> Column:
@@ -54,20 +55,21 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[
     """``query_id, doc, score, rank``: the k best documents of each query by BM25 over its terms; of equals the smaller id first.
 
     ``queries`` has ``query_id, query``. Only the queries' terms are counted in the documents: the documents' terms are cut down
-    by a semi-join with them before anything is shuffled.
+    by a semi-join with them before anything is shuffled. Documents that come partitioned by id (as of ``current_chunks``) stay
+    where they are: counts and scores of a document are summed where it is, only each task's best go to the queries.
     """
     want = queries.select("query_id", F.explode(X.match_terms(F.col("query"))).alias("term")).distinct()
     terms = small(want.select("term").distinct(), 200_000)
-    one = docs.select(F.col(id_col).alias("doc"), F.explode(F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in text_cols))).alias("term"))
-    tf = one.join(terms, "term", "left_semi").groupBy("term", "doc").agg(F.count("*").alias("tf"))
-    lengths = doc_lengths(docs, id_col, text_cols)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = docs.select(F.col(id_col).alias("doc"), F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in text_cols)).alias("terms"))
+    one = words.select("doc", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    tf = one.join(terms, "term", "left_semi").groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("long")).alias("avgdl"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighted = tf.join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(stats))  # one row
+    weighted = tf.join(small(df, 200_000), "term").crossJoin(F.broadcast(stats))  # one row
     weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    # Decimals add up the same in any order.
-    hits = weighted.select("doc", "term", weight.cast("decimal(20,9)").alias("w")).join(small(want, 400_000), "term").groupBy("query_id", "doc").agg(F.round(F.sum("w").cast("double"), 6).alias("score"))
+    # Whole numbers (of 1e-9) add up the same in any order.
+    hits = weighted.select("doc", "term", F.round(weight * 1e9).cast("long").alias("w")).join(small(want, 400_000), "term").groupBy("query_id", "doc").agg(F.round(F.sum("w") / 1e9, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -209,7 +211,7 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, candidates: int =
     text = F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
     told = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
     told = told.withColumns({"cv": F.col(vectors) if vectors else hash_embedding(text, dim), "ps": X.provision_side(F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content")) if by_words else F.array(*map(X.trigrams, (F.col("content"), F.col("law_title"), F.concat("law_title", F.coalesce("article_label", F.lit(""))))))})
-    full = pairs.join(told, "chunk_id").join(small(asked), "query_id").join(small(titles.withColumn("named", F.lit(True))).withColumnRenamed("title", "law_title"), ["query_id", "law_title"], "left")
+    full = pairs.repartition(tasks(chunks.sparkSession), "chunk_id").join(told, "chunk_id").join(small(asked), "query_id").join(small(titles.withColumn("named", F.lit(True))).withColumnRenamed("title", "law_title"), ["query_id", "law_title"], "left")
     vec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("qv"), F.col("cv")) if vectors else dot(F.col("qv"), F.col("cv"))))
     if by_words:
         lex = F.least(F.lit(1.0), X.lexical_score(F.col("qs"), F.col("ps")) + F.when(F.col("named"), TITLE_BOOST).otherwise(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexspark.functions import answers as A
 from lexspark.functions import text as X
 from lexspark.functions import urls as U
 from lexspark.operators import chunking as C
@@ -295,7 +296,7 @@ q80 AS (SELECT query_id, term FROM (SELECT *, row_number() OVER (PARTITION BY qu
 dl AS (SELECT doc, count(*) AS dl FROM ix GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT term, doc, count(*) AS tf FROM ix WHERE term IN (SELECT term FROM q80) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 w AS (SELECT tf.doc, tf.term, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS w FROM tf JOIN df USING (term) JOIN dl USING (doc), st),
-sc AS (SELECT query_id, doc, round(sum(CAST(w AS DECIMAL(20,9)))::DOUBLE, 6) AS score FROM w JOIN q80 USING (term) GROUP BY 1, 2),
+sc AS (SELECT query_id, doc, round(sum(CAST(round(w * 1e9) AS BIGINT))::DOUBLE / 1e9, 6) AS score FROM w JOIN q80 USING (term) GROUP BY 1, 2),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM sc))
 """
 
@@ -612,6 +613,12 @@ def token_budget(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", n.cast("long").alias("prompt_tokens"), X.output_tokens(F.lit(4096), F.lit(16384), n).cast("long").alias("output_tokens"))
 
 
+@query(f"SELECT doc_id, {_any('text', A.INSUFFICIENT)} AS lacking, regexp_replace(regexp_replace(text, '[{_WS}]+$', ''), '[*_` ]+$', '') = '' OR (NOT regexp_matches(regexp_replace(regexp_replace(text, '[{_WS}]+$', ''), '[*_` ]+$', ''), '(?:[。！？.!?\\]）)】」』]|\\[[0-9]+\\])$') AND length(regexp_replace(regexp_extract(regexp_replace(regexp_replace(text, '[{_WS}]+$', ''), '[*_` ]+$', ''), '([^\\n]*)$', 1), '^[ \\-*\\t]+|[ \\-*\\t]+$', '', 'g')) <= 8) AS broken_off FROM documents WHERE text IS NOT NULL")
+def answer_checks(spark, d):
+    """All documents as a model's answers: do they admit a lack, did they break off."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", A.admits_lack(F.col("text")).alias("lacking"), A.is_incomplete(F.col("text"), F.lit(True), F.lit(None).cast("string")).alias("broken_off"))
+
+
 _DATE = r"(?:發布日期|公布日期|修正日期|公告日期|發文日期)[：:]?\s*(?:中華民國|民國)?\s*(\d{2,4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
 
 

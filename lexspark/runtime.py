@@ -41,7 +41,9 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame, per_task: int = 2) -> DataFrame:
-    """Spread the rows of a scan that came as fewer partitions than there are cores; a scan that is split enough stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_task) if df.rdd.getNumPartitions() * 2 < cores else df
+def tasks(spark: SparkSession) -> int:
+    """The session's shuffle partitions: for exchanges that must keep their parallelism although they move few bytes.
+
+    Adaptive execution merges small partitions; a named number is kept. Worth it before work that is heavy by row.
+    """
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
