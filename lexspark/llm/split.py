@@ -114,7 +114,7 @@ def beginnings(text: str, is_content: bool) -> list[tuple[int, str]]:
         found = [x for x in m if x[1] == 1] or [x for x in m if x[1] == 2]
         if found and found[0][1] == 2:
             found = _first_level(found)
-    return [(s, re.sub(f"[{_BLANK}]", "", label)) for s, _, label in found]
+    return [(s, re.sub(r"[\s\u00a0\u3000]", "", label)) for s, _, label in found]
 
 
 def _first_level(points: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
