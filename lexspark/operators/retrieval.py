@@ -199,7 +199,7 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, candidates: int =
     """
     q = queries.select("query_id", X.normalize_query(F.col("query")).alias("query"))
     q = q.withColumn("lex", X.expand_query(F.col("query")))
-    titles = matched_titles(q, chunks.select(F.col("law_title").alias("title")))
+    titles = cut(matched_titles(q, chunks.select(F.col("law_title").alias("title"))))
     top = bm25_topk(q.select("query_id", F.col("lex").alias("query")), chunks, "chunk_id", ["law_title", "article_label", "heading", "content"], candidates).select("query_id", F.col("doc").alias("chunk_id"))
     by_title = chunks.select("chunk_id", "law_title").join(small(titles), chunks.law_title == titles.title).select("query_id", "chunk_id")
     pairs = cut(top.unionByName(by_title).distinct())  # ids only; read several times below
@@ -225,7 +225,7 @@ def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, candidates: int =
 
 def search(queries: DataFrame, chunks: DataFrame, k: int = 8, **options) -> DataFrame:
     """Routed search: exact provisions where a query names one article of one law (also when there is none), else hybrid."""
-    scope = article_scope(queries, chunks.select(F.col("law_title").alias("title")))
+    scope = cut(article_scope(queries, chunks.select(F.col("law_title").alias("title"))))  # a row a query at most
     cols = ["query_id", "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "hybrid_score", "retrieval_mode", "pos"]
     w = Window.partitionBy("query_id").orderBy("law_title", "seq", "chunk_id")
     exact = exact_article(scope, chunks).withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k)
