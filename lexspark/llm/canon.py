@@ -200,9 +200,13 @@ def same_look(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
     mixed = forms.groupBy("field_name", "scope", "look").agg(F.min("spelled").alias("lo"), F.max("spelled").alias("hi")).where("lo <> hi").select("field_name", "scope", "look")
     key = ["field_name", "scope", "look"]
     some = forms.join(mixed, key, "left_semi").distinct()
-    a = some.withColumnsRenamed({"id": "id_1", "spelled": "s1"})
-    b = some.withColumnsRenamed({"id": "id_2", "spelled": "s2"})
-    return a.join(b, key).where("id_1 < id_2 and s1 <> s2").select("field_name", "id_1", "id_2").distinct()
+    # Unlike spellings are paired first, then their ids: copies of one spelling are never set against each other.
+    spellings = some.select(*key, "spelled").distinct()
+    unlike = spellings.withColumnRenamed("spelled", "s1").join(spellings.withColumnRenamed("spelled", "s2"), key).where("s1 < s2")
+    a = some.withColumnsRenamed({"id": "a", "spelled": "s1"})
+    b = some.withColumnsRenamed({"id": "b", "spelled": "s2"})
+    pairs = unlike.join(a, [*key, "s1"]).join(b, [*key, "s2"]).where("a <> b")
+    return pairs.select("field_name", F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
 
 
 def p2_texts(spark, sf_dir: str) -> DataFrame:

@@ -33,3 +33,8 @@ def test_texts(spark):
     df = spark.createDataFrame([(1, "Ａ\u200b", "x"), (2, None, "x"), (3, "", "x"), (4, "字" * 20000 + "１", "x")], "id long, t string, canonical string")
     assert {r.id: r.canonical for r in canonicalize(df).collect()} == {1: "A", 2: None, 3: "", 4: "字" * 20000 + "1"}
     assert vocabulary(df.select("t").where("t is not null")) == []
+
+
+def test_hot_class_pairs_only_unlike_spellings(spark):
+    df = spark.range(3000).selectExpr("'a' as field_name", "1L as scope", "id", "case when id < 3 then '第８條' else '第8條' end as t")
+    assert same_look(df, words=[]).count() == 3 * 2997
