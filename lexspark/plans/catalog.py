@@ -177,14 +177,16 @@ def anti_join_unlabelled(spark, d):
     return table(spark, d, "law_versions").select("version_id", "law_id").distinct().join(table(spark, d, "law_chunks").select("version_id"), "version_id", "left_anti")
 
 
-@query(f"WITH {_CUR}, t AS (SELECT DISTINCT law_title FROM l) SELECT doc_id, law_title FROM documents, t WHERE length(law_title) >= 3 AND contains(substr(text, 1, strpos(text || chr(10), chr(10)) - 1), law_title)")
+@query(f"WITH {_CUR}, t AS (SELECT DISTINCT law_title FROM l) SELECT doc_id, law_title FROM documents, t WHERE length(law_title) >= 3 AND contains(text, law_title)")
 def contains_theta_join(spark, d):
-    """Titles in the first lines of documents: both sides grow, so the join goes by the line's runs of characters of the titles' lengths."""
+    """Titles in the texts of documents: both sides grow, so the join goes by runs of the shortest title's length, then is confirmed."""
     t = _laws(spark, d).select(F.col("title").alias("law_title")).where(F.length("title") >= 3).distinct()
-    sizes = t.select(F.length("law_title").alias("n")).distinct()  # as many rows as lengths
-    line = table(spark, d, "documents").where("text is not null").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
-    runs = line.join(F.broadcast(sizes), F.col("n") <= F.length("line")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("line") - F.col("n") + 1), lambda i: F.substring(F.col("line"), i, F.col("n"))))).alias("law_title"))
-    return runs.join(t, "law_title").select("doc_id", "law_title")
+    n = t.agg(F.coalesce(F.min(F.length("law_title")), F.lit(3))).first()[0]
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    at = docs.where(F.length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - (n - 1))).alias("i"))
+    runs = at.select("doc_id", F.substring("text", F.col("i"), F.lit(n)).alias("run"))
+    some = runs.join(R.small(t.withColumn("run", F.substring("law_title", 1, n))), "run").select("doc_id", "law_title").distinct()
+    return some.join(docs, "doc_id").where(F.contains("text", F.col("law_title"))).select("doc_id", "law_title")
 
 
 def _key(x: str) -> str:
