@@ -183,8 +183,7 @@ def contains_theta_join(spark, d):
     t = _laws(spark, d).select(F.col("title").alias("law_title")).where(F.length("title") >= 3).distinct()
     n = t.agg(F.coalesce(F.min(F.length("law_title")), F.lit(3))).first()[0]
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
-    at = docs.where(F.length("text") >= n).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - (n - 1))).alias("i"))
-    runs = at.select("doc_id", F.substring("text", F.col("i"), F.lit(n)).alias("run"))
+    runs = docs.select("doc_id", F.explode(X.grams(F.col("text"), n)).alias("run"))
     some = runs.join(R.small(t.withColumn("run", F.substring("law_title", 1, n))), "run").select("doc_id", "law_title").distinct()
     return some.join(docs, "doc_id").where(F.contains("text", F.col("law_title"))).select("doc_id", "law_title")
 

@@ -73,3 +73,8 @@ def test_urls(spark):
     assert one(spark, U.source_key, "HTTPS://X.example/P?b=2&a=1") == "https://x.example/P?a=1&b=2"
     ok = lambda u: one(spark, lambda c: U.allowed(c, ("gov.example",)), u)
     assert ok("https://law.gov.example/x") and ok("https://gov.example") and not ok("https://gov.example.evil.example") and not ok("http://gov.example") and not ok("https://u@gov.example") and not ok("nonsense")
+
+
+def test_grams(spark):
+    assert one(spark, lambda c: X.grams(c, 2), "a字\U000e0100b\n𠮷") == ["a字", "字\U000e0100", "\U000e0100b", "b\n", "\n𠮷"]
+    assert one(spark, lambda c: X.grams(c, 2), "a") == [] and one(spark, lambda c: X.grams(c, 1), "") == []
