@@ -1,8 +1,9 @@
 """Problem 9: texts decoded with the wrong character encoding.
 
 Method: round-trip repair. Text is encoded again under a candidate legacy encoding and strictly decoded as the intended one, as
-often as layers are nested; the result is accepted when a garbling cost drops. Where no whole text comes back, the same is tried
-line by line. A line whose cost falls only when undecodable bytes are left out has lost characters: its document is affected, but
+often as layers are nested; the result is accepted when a garbling cost drops. UTF-8 read as cp1252 or Latin-1 may cost little (one
+sign in a line): a strict round trip through these needs no more than a drop. Where no whole text comes back, the same is tried line
+by line. A line whose cost falls only when undecodable bytes are left out has lost characters: its document is affected, but
 has no original any more.
 """
 
@@ -44,6 +45,10 @@ def _sloppy() -> tuple[dict[int, int], dict[int, int]]:
 
 _TO1252, _FROM1252 = _sloppy()
 
+_NEXT = "[" + re.escape("".join(chr(c) for c in range(0x80, 0xC0)) + "".join(chr(c) for c, b in _TO1252.items() if 0x80 <= b < 0xA0)) + "]"
+#: UTF-8 of one character, read as cp1252 or Latin-1: a leading character and its continuations.
+_UTF8 = re.compile(f"[\xc2-\xdf]{_NEXT}|[\xe0-\xef]{_NEXT}{{2}}|[\xf0-\xf4]{_NEXT}{{3}}")
+
 
 def encode(text: str, as_: str, errors: str = "strict") -> bytes:
     if as_ == "cp1252+":
@@ -101,11 +106,33 @@ def _attempts(text: str) -> Iterator[str]:
                 continue
 
 
-def repair(text: str) -> str | None:
-    """The text before it was read wrongly, through up to LAYERS layers; None if no round trip makes it better.
+def _signs(text: str) -> str | None:
+    """The text before UTF-8 was read as cp1252 or Latin-1, by strict round trips of all of it that leave no strange character and cost less.
 
-    A layer by itself need not lower the cost (twice-encoded text halves at first); the result of all of them must.
+    Only single characters count: letters with marks in a row are no sign of garbling where the bytes fit.
     """
+    found = None
+    for _ in range(LAYERS):
+        if not _UTF8.search(text):
+            break
+        try:
+            t = encode(text, "cp1252+").decode("utf-8")
+        except UnicodeError:
+            break
+        if any(map(_strange, t)) or sum(map(char_cost, t)) >= sum(map(char_cost, text)):
+            break
+        text = found = t
+    return found
+
+
+def repair(text: str) -> str | None:
+    """The text before it was read wrongly, through up to LAYERS layers; None if no round trip makes it better."""
+    found = _trips(text)
+    return _signs(text if found is None else found) or found
+
+
+def _trips(text: str) -> str | None:
+    """A layer by itself need not lower the cost (twice-encoded text halves at first); the result of all of them must, by half and by 0.5."""
     start = cost(text)
     if start < SUSPECT:
         return None
@@ -153,7 +180,7 @@ def restore(text: str) -> tuple[bool, str | None]:
     fixed, lost = False, False
     for i in range(0, len(lines), 2):
         line = lines[i]
-        if not line or "??" not in line and cost(line) < SUSPECT:
+        if not line or "??" not in line and cost(line) < SUSPECT and not _UTF8.search(line):
             continue
         good = repair(line)
         if good is not None:

@@ -35,6 +35,27 @@ def test_single_lines():
     assert restore(f"{ZH}\n{bad}\n{EN}") == (True, f"{ZH}\n{ZH}\n{EN}")
 
 
+@pytest.mark.parametrize("good", ["subject to § 47", "at least 90 °C", "a café", "cafés: café, café, café", "El Señor", "façade", "créée", "±6", "à la carte, café"])
+def test_single_signs(good):
+    for read in ("latin-1", "cp1252"):
+        try:
+            bad = good.encode().decode(read)
+        except UnicodeDecodeError:
+            continue
+        assert restore(bad) == (True, good)
+        assert restore(f"{EN}\n{bad}") == (True, f"{EN}\n{good}")
+
+
+def test_single_sign_read_twice():
+    twice = "at least 90 °C".encode().decode("latin-1").encode().decode("latin-1")
+    assert restore(f"{EN}\n{twice}") == (True, f"{EN}\nat least 90 °C")
+
+
+def test_leading_letters_in_order_stay():
+    for t in ("NESCAFÉ®", "5 Å – 7 Å", "ÂGE § 4", "“5 Å”", "Ã is a letter", "the Â", "É°"):
+        assert restore(t) == (False, t) and repair(t) is None
+
+
 def test_in_order_stays():
     for t in (ZH, EN, "®Façade ±6% £72 Ça ÂGE ß Ø59 µm ﾃｽﾄ", "résumé naïve Ångström 42 ℃ 5 MΩ", "真的嗎??", "菌菇培養室"):
         assert restore(t) == (False, t) and repair(t) is None
