@@ -7,8 +7,10 @@ reaches the k-th best lower bound survive, are computed again in float64 and mer
 
 Scale: the partition is fitted on a bounded sample (``SAMPLE`` vectors at most, ``CELLS`` centroids at most); every vector is
 indexed. A cell expected to hold more than ``BLOCK`` vectors is cut into blocks whose pairs of blocks are separate groups, so no
-task gets more than two blocks. Exact copies beyond the k+1 smallest ids of a vector never enter a block: their neighbours are
-those smallest ids.
+task gets more than two blocks. Survivors are computed again in slices that keep k a row, so memory doesn't grow with their number.
+Exact copies (also multiples) beyond the k+1 smallest ids of a direction never enter a block: their neighbours are those of the last
+of these, which has k copies with smaller ids itself. Near copies (multiples rounded to float32 too) differ for third vectors in the
+ninth digit, so all of them are compared.
 """
 
 from __future__ import annotations
@@ -25,9 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexspark.runtime import cut
+
 #: Bounds of the fit: sampled vectors and centroids; wanted vectors a cell; vectors a block; margin in cosine for a second cell.
 SAMPLE, CELLS, CELL_ROWS, BLOCK, MARGIN = 32_768, 2_048, 800, 8_192, 0.12
 TILE = 1_024
+#: Pairs computed again at once; from this share of the pairs that are left, whole rows are multiplied.
+SLICE, DENSE = 16_384, 1 / 16
 
 
 def _matrix(col: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -44,9 +50,15 @@ def _matrix(col: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return right[ok], x[ok]
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """With 1 as the largest size: the same bits for all multiples of a vector."""
     y = x.astype(np.float64)
-    y /= np.abs(y).max(axis=1, keepdims=True)  # neither overflows nor vanishes when squared
+    y /= np.abs(y).max(axis=1, keepdims=True)
+    return y
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    y = _scaled(x)  # neither overflows nor vanishes when squared
     return y / np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
 
 
@@ -54,8 +66,8 @@ def _digests(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, x = _matrix(b.column(1), dim)
-            h = [xxhash.xxh3_64_intdigest(v.tobytes()) - 2**63 for v in x + 0.0]  # -0.0 + 0.0 is 0.0
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(h, pa.int64())], names=["id", "digest"])
+            h = [xxhash.xxh3_128_digest(v.tobytes()) for v in _scaled(x) + 0.0]  # -0.0 + 0.0 is 0.0
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(h, pa.binary())], names=["id", "digest"])
 
     return run
 
@@ -115,6 +127,29 @@ def _assign(dim: int, cells: np.ndarray, splits: np.ndarray, margin: float):
     return run
 
 
+def _again(ids: np.ndarray, u: np.ndarray, start: int, keep: np.ndarray, k: int, by_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, neighbour's row, cosine) in float64: the k best of the pairs in ``keep``, whose rows begin at ``start``."""
+    n = len(keep)
+    if keep.sum() < DENSE * keep.size:
+        left, right = np.nonzero(keep)
+        cos = np.einsum("ij,ij->i", u[left + start], u[right])
+        order = np.lexsort((ids[right], -np.round(cos, 9), left))
+        left, right, cos = left[order], right[order], cos[order]
+        best = np.arange(len(left)) - np.searchsorted(left, np.arange(n))[left] < k
+        return left[best] + start, right[best], cos[best]
+    cos = u[start : start + n] @ u.T
+    near = np.where(keep, np.round(cos, 9), -9)[:, by_id]
+    rows, picked = np.arange(n), []
+    for _ in range(min(k, near.shape[1])):
+        first = near.argmax(axis=1)  # of equals the first: the smallest id
+        picked.append(np.where(near[rows, first] > -8, by_id[first], -1))
+        near[rows, first] = -9
+    right = np.stack(picked, axis=1)
+    left = np.repeat(rows, right.shape[1])[right.ravel() >= 0]
+    right = right.ravel()[right.ravel() >= 0]
+    return left + start, right, cos[left, right]
+
+
 def block_neighbours(ids: np.ndarray, x: np.ndarray, k: int, block: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, neighbour's row, cosine): the k nearest of each row within the block; with ``block``, among rows of the other block."""
     u = _unit(x)
@@ -123,6 +158,7 @@ def block_neighbours(ids: np.ndarray, x: np.ndarray, k: int, block: np.ndarray |
     err = np.sqrt(((u - q * scale[:, None]) ** 2).sum(axis=1))
     qf = q.astype(np.float32)
     size = np.sqrt((qf.astype(np.float64) ** 2).sum(axis=1)) * scale  # length of the code's vector
+    by_id = np.argsort(ids, kind="stable")
     out = []
     for i in range(0, len(ids), TILE):
         r = slice(i, min(i + TILE, len(ids)))
@@ -138,14 +174,14 @@ def block_neighbours(ids: np.ndarray, x: np.ndarray, k: int, block: np.ndarray |
         bound = (err[r, None] * size.max() + err.max() * 1.0 + 4e-6).astype(np.float32)
         kk = min(k, dot.shape[1])
         kth = np.partition(dot, dot.shape[1] - kk, axis=1)[:, dot.shape[1] - kk][:, None]
-        left, right = np.nonzero((dot >= kth - 2 * bound) & (dot > -8))
-        cos = np.einsum("ij,ij->i", u[left + i], u[right])
-        order = np.lexsort((ids[right], -np.round(cos, 9), left))
-        left, right, cos = left[order], right[order], cos[order]
-        starts = np.searchsorted(left, np.arange(n))
-        rank = np.arange(len(left)) - starts[left]
-        best = rank < k
-        out.append((left[best] + i, right[best], cos[best]))
+        keep = (dot >= kth - 2 * bound) & (dot > -8)
+        upto = np.cumsum(keep.sum(axis=1))
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, side="right")))
+            left, right, cos = _again(ids, u, i + at, keep[at:to], k, by_id)
+            out.append((left, right, cos))
+            at = to
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int),) * 3
 
 
@@ -171,21 +207,20 @@ def nearest_neighbours(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "
     """
     spark = df.sparkSession
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
-    digests = src.mapInArrow(_digests(dim), "id long, digest long")
+    digests = src.mapInArrow(_digests(dim), "id long, digest binary")
     groups = digests.groupBy("digest").agg(F.count("*").alias("c"))
     n, crowded = groups.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > k + 1).cast("int")), F.lit(0))).first()
     schema = "id long, other long, cos double"
     if not n:
         return spark.createDataFrame([], "id long, rank int, other long, cos double")
-    copies = None
+    surplus = None
     if crowded:
         # The k + 1 smallest ids stand for a vector that occurs more often; WindowGroupLimit keeps them before the shuffle.
         many = digests.join(groups.where(F.col("c") > k + 1).select("digest"), "digest", "left_semi")
         least = many.withColumn("r", F.dense_rank().over(Window.partitionBy("digest").orderBy("id"))).where(F.col("r") <= k + 1).distinct()
-        heads = least.groupBy("digest").agg(F.max("id").alias("last"), F.slice(F.array_sort(F.collect_list("id")), 1, k).alias("heads"))
-        surplus = many.join(heads, "digest").where("id > last")
-        copies = surplus.select("id", F.explode("heads").alias("other"), F.lit(1.0).alias("cos"))
-        src = src.join(surplus.select("id").distinct(), "id", "left_anti")
+        last = least.groupBy("digest").agg(F.max("id").alias("last"))
+        surplus = cut(many.join(last, "digest").where("id > last").select("id", "last").distinct())  # ids only; read twice below
+        src = src.join(surplus.select("id"), "id", "left_anti")
     share = min(1.0, 1.3 * SAMPLE / n)
     take = src.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(SAMPLE)
     _, x = _matrix(take.select("v").toArrow().column(0), dim)
@@ -195,10 +230,11 @@ def nearest_neighbours(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "
     splits = np.maximum(1, np.ceil(2 * seen / len(u) * n / BLOCK)).astype(np.int64)
     blocks = src.mapInArrow(_assign(dim, cells, splits, margin), "cell int, a int, b int, block int, id long, v binary")
     near = blocks.groupBy("cell", "a", "b").applyInArrow(_join_block(dim, k), schema)
-    if copies is not None:
-        near = near.unionByName(copies)
     # At most k rows of each block and cell that the vector is in.
     best = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("far"), "other"))), 1, k).alias("near"))
+    if surplus is not None:
+        best = cut(best)  # else the blocks are joined twice
+        best = best.unionByName(surplus.join(best.withColumnRenamed("id", "last"), "last").select("id", "near"))
     return best.select("id", F.posexplode("near").alias("rank", "p")).select("id", (F.col("rank") + 1).alias("rank"), F.col("p.other").alias("other"), (-F.col("p.far")).alias("cos"))
 
 
