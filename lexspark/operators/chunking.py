@@ -88,6 +88,10 @@ def stride_windows(text: str | Column, size: int = 2600, stride: int = 2500) ->
 def stored_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc, part, label, text``: a stored text's body (part 0) and its attachments, cut at the lines 附件：label."""
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).where("t is not null").dropDuplicates(["doc"])
+    return _cut_parts(src)
+
+
+def _cut_parts(src: DataFrame) -> DataFrame:
     cut = F.split(F.concat(F.lit("\n"), F.col("t")), r"\r?\n(?=附件：[^\r\n]+\r?\n)")
     parts = src.select("doc", F.posexplode(cut).alias("part", "p"))
     label = F.when(F.col("part") > 0, F.regexp_extract("p", r"^附件：([^\r\n]+)", 1))
@@ -97,11 +101,30 @@ def stored_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def segment_stored(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Chunks of bodies and attachments, numbered on; an attachment's chunks are headed by it and labelled 附件n where they have no label."""
-    parts = stored_parts(docs, id_col, text_col).withColumn("key", F.struct("doc", "part"))
+    return _segment_parts(stored_parts(docs, id_col, text_col))
+
+
+def segment_attached(docs: DataFrame, group_col: str, id_col: str, text_col: str) -> DataFrame:
+    """As ``segment_stored`` of each group's documents in one text: the first its body, the others attachments named by their ids.
+
+    The documents stay rows of their own, so a large group needs no large row. Rows with a null group or an empty text are left out,
+    and those with a null id unless first.
+    """
+    order = Window.partitionBy("group").orderBy("id", "t")
+    src = docs.select(F.col(group_col).alias("group"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("group is not null and t <> ''")
+    src = src.withColumns({"no": F.row_number().over(order), "more": F.lead(F.lit(True)).over(order)}).where("no = 1 or id is not null")
+    name = F.when(F.col("no") > 1, F.concat(F.lit("附件："), F.col("id").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
+    end = F.when(F.col("more"), F.lit("\n\n")).otherwise(F.lit(""))  # a line 附件：label counts only where a line follows
+    one = _cut_parts(src.select(F.struct("group", "no").alias("doc"), F.concat(name, "t", end).alias("t")))
+    return _segment_parts(one.where("doc.no = 1 or part > 0").select(F.col("doc.group").alias("doc"), F.struct("doc.no", "part").alias("part"), "label", "text"))
+
+
+def _segment_parts(parts: DataFrame) -> DataFrame:
+    parts = parts.withColumn("key", F.struct("doc", "part"))
     chunks = segment(parts, "key", "text").select("doc.doc", "doc.part", "seq", "article_label", "heading", "content")
     chunks = chunks.join(parts.select("doc", "part", "label"), ["doc", "part"])
     order = Window.partitionBy("doc").orderBy("part", "seq")
-    attached = F.col("part") > 0
+    attached = F.col("label").isNotNull()
     return chunks.select(
         "doc",
         (F.row_number().over(order) - 1).alias("n"),

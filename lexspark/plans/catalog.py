@@ -437,9 +437,7 @@ def stride_windows(spark, d):
 @query()
 def stored_attachments(spark, d):
     """Stored texts made of the documents of each law: the first its body, the others attachments, cut again at their boundaries."""
-    docs = table(spark, d, "documents").where("law_key is not null and text <> ''").groupBy("law_key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
-    body = F.array_join(F.transform("x", lambda p, i: F.when(i == 0, p["text"]).otherwise(F.concat(F.lit("附件："), p["doc_id"].cast("string"), F.lit("\n"), p["text"]))), "\n\n")
-    return C.segment_stored(docs.select("law_key", body.alias("stored")), "law_key", "stored").select(F.col("doc").alias("law_key"), "seq", "article_label", "heading", F.length("content").alias("n_chars"))
+    return C.segment_attached(table(spark, d, "documents"), "law_key", "doc_id", "text").select(F.col("doc").alias("law_key"), "seq", "article_label", "heading", F.length("content").alias("n_chars"))
 
 
 _META_SQL = ", ".join(f"nullif(substr(regexp_replace(regexp_extract(raw_text, '{p}', 1), '^[{_WS}]+|[{_WS}]+$', '', 'g'), 1, 200), '') AS {k}" for k, p in C.META.items())

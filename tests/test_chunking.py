@@ -57,6 +57,17 @@ def test_stored_text(spark):
     assert r == [(0, "第1條", None, "第1條 甲。"), (1, "一、", "附件：表.pdf", "一、乙"), (2, "二、", "附件：表.pdf", "二、丙"), (3, "附件1", "附件：圖", "只有字")]
 
 
+def test_attached_documents_stay_rows(spark):
+    rows = [("a", 3, "一、乙\n二、丙"), ("a", 1, "第1條 甲。\n附件：圖"), ("a", 20, "只有字\n附件：末"), ("a", 4, ""), ("b", 9, "第1條 丁。"), (None, 5, "戊")]
+    df = spark.createDataFrame(rows, "k string, i long, t string")
+    got = C.segment_attached(df, "k", "i", "t")
+    joined = spark.createDataFrame([("a", "第1條 甲。\n附件：圖\n\n附件：3\n一、乙\n二、丙\n\n附件：20\n只有字\n附件：末"), ("b", "第1條 丁。")], "k string, t string")
+    want = sorted(map(str, C.segment_stored(joined, "k", "t").collect()))
+    assert sorted(map(str, got.collect())) == want and len(want) == 5
+    many = spark.range(3000).select(F.lit("k").alias("k"), F.col("id").alias("i"), F.lit("字" * 50).alias("t"))
+    assert C.segment_attached(many, "k", "i", "t").agg(F.max("seq"), F.max(F.length("content"))).first()[:] == (2999, 50)
+
+
 def test_metadata_and_hash(spark):
     t = "法規名稱：甲規則（113/03/14 發布）\n主管機關：內政部\n第1條 甲。"
     df = spark.createDataFrame([(1, t), (2, "列印時間：113/1/1\n" + t), (3, t + "乙。")], "doc long, t string")
