@@ -23,6 +23,13 @@ def test_limits(spark):
     assert (r["m"].effective_output, r["m"].context_tokens) == (384, 4096) and r["other"].effective_output == 2048
 
 
+def test_limits_of_many_models(spark):
+    n = 20_100
+    prof = spark.range(n).selectExpr("concat('m', id) AS model", "16384 AS context_tokens", "100 AS output_tokens", "CAST(NULL AS INT) AS found_context")
+    r = A.token_limits(prof.select("model", F.lit("x").alias("prompt")), prof).where("configured_output = 100")
+    assert r.count() == n
+
+
 def test_links(spark):
     r = spark.createDataFrame([("<見[1]與[3]>", [1])], "a string, c array<int>").select(A.link_citations(F.col("a"), F.col("c")).alias("x")).first().x
     assert r == '&lt;見<a href="#evidence-1">[1]</a>與[3]&gt;'
