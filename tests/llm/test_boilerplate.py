@@ -25,11 +25,31 @@ def test_fit_learns_and_viterbi_is_best():
     assert list(best) == r.decode(feats)
 
 
-def test_held_out_accuracy(spark):
+def test_accuracy_on_layouts_left_out_of_the_fit(spark):
     labelled = B.training_pages(spark, "/root/testdata/sf0.01")
+    parts = B.left_out(labelled, 2)
+    assert sum(n for _, n, _, _ in parts) == len(labelled) > 100 and all(kinds > 3 for kinds, *_ in parts)
+    assert all(block_share >= 0.99 and page_share >= 0.9 for _, _, block_share, page_share in parts)
+
+
+def test_batches_label_as_single_pages_do():
     m = B.Crf.load()
-    right = sum(a == b for f, y in labelled for a, b in zip(y, m.decode(f)))
-    assert right >= 0.99 * sum(len(y) for _, y in labelled) and len(labelled) > 20
+    pages = [B.blocks(PAGE, True), B.blocks(PLAIN, False), [], B.blocks("首頁", False), B.blocks(PLAIN + "\n" + PLAIN, False)]
+    assert np.allclose(m.emissions(pages), np.vstack([m.scores(B.features(p)) for p in pages if p]))
+    assert [y.tolist() for y in m.label(pages)] == [m.decode(B.features(p)) for p in pages]
+    assert m.label([]) == [] and [len(y) for y in m.label([[], []])] == [0, 0]
+
+
+def test_sentences_at_the_end_are_the_laws():
+    m = B.Crf.load()
+    for last in ("A & B 兩棟合計 100% 計算。", "代碼｜名稱｜數量 3 | 5 | 7。", "a<b 時取 b；a>b 時取 a。"):
+        assert B.body(PLAIN.replace("\n回首頁", f"\n{last}\n回首頁"), False, m).split("\n")[-1] == last
+
+
+def test_blocks_of_broken_html():
+    assert B.blocks("<!-- a > b --><p title='x>y'>甲<script>if (a<b) c</script>乙<br>丙 &lt;p&gt;<li>丁", True) == [(t, B._path(p)) for t, p in (("甲乙", ("p",)), ("丙 <p>", ("p",)), ("丁", ("p", "li")))]
+    assert [t for t, _ in B.blocks("<head><title>x</title><body>a < b <b", True)] == ["a < b <b"]
+    assert B.blocks("<script>x", True) == []
 
 
 def test_table(spark):
