@@ -85,3 +85,35 @@ def test_fold():
     assert fold_char("Ａ") == "a" and fold_char("。") == "" and fold_char("㎜") == "mm"
     a, ends = fold_texts(["Ab，㎜", "", "1"])
     assert [chr(c) for c in a] == ["a", "b", "m", "m", "\x01", "\x01", "1", "\x01"] and ends.tolist() == [4, 5, 7]
+
+
+def test_repetitive_texts_take_no_quadratic_time():
+    import time
+
+    m = Matcher([(1, "字" * 200, "zh"), (2, "零" * 25 + ZH + "零" * 25 + EN, "zh")], {"*": 20, "en": 40}, 0.4)
+    t0 = time.time()
+    assert m.find(["字" * 300_000, "字" * 79, "字" * 80, "零" * 100_000 + ZH[:20] + "零" * 100_000]) == [(0, 1), (2, 1)]
+    assert m.find(["零" * 1000 + ZH + "零" * 1000]) == [(0, 2)] and time.time() - t0 < 20
+
+
+def test_blocks_from_the_shared_folder(spark):
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯") for _ in range(n))
+    items = [(i, make(60), "zh") for i in range(60)]
+    docs = [(i, make(30) + items[i][1][: 20 + i] + make(30) + items[59 - i][1][10:40]) for i in range(60)]
+    d, p = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string, lang string")
+    one, many = (sorted(map(tuple, find_leaks(d, p, per_block=k).collect())) for k in (20_000, 7))
+    assert one == many and len(one) > 60
+
+
+def test_shifts_stay_long_with_many_patterns():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    letters = np.minimum(rng.zipf(1.3, 3_000_000), 3_000).astype(np.uint32) + 20_000
+    for n in (1_000, 100_000):
+        w = WuManber(letters[: n * 10].reshape(n, 10))
+        text = letters[1_500_000:]
+        ends = np.arange(w.m - 1, len(text), 7)
+        s = w.shift[w._block([text[ends - (w.b - 1 - i)] for i in range(w.b)])]
+        assert s.mean() > 0.7 * (w.m - w.b + 1)
