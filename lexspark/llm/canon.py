@@ -1,10 +1,11 @@
 """Problem 2: one form for texts that look the same.
 
-Method: vocabulary trie and weighted edit automaton. The corpus' own tokens, in canonical spelling, make a trie; the automaton reads
-a token along it, where an unseen character costs nothing, a look-alike costs nothing, a letter with its marks apart costs nothing
-against the composed letter, and any other difference costs 1, which the budget (0) forbids. A match gives the word's canonical
-spelling; where the trie has no match, the table gives it character by character. Both give the same form for the same look, so the
-result doesn't depend on which words the bounded vocabulary holds.
+Method: vocabulary trie and weighted edit automaton. The corpus' own words, in canonical spelling and by frequency, make a trie; the
+automaton reads a token along it. An unseen character costs nothing, nor does a character with one look-alike, nor a letter with its
+marks apart. A sign that looks like several letters (Greek ρ, υ, ι; in words that mix them l, I, 1 and |, O and 0) goes along with
+each of them at a small weight; any other difference costs more than the budget. The cheapest word wins, then the more frequent one:
+so the vocabulary decides what no table can (``c1ause`` is ``clause``, ``νalve`` is ``valve``, ``l0`` in nothing known stays).
+Tokens without a match are normalized by the table, character by character.
 
 Texts whose characters are all canonical already are passed on as they are.
 """
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of the trie at most, and letters of a word.
-VOCABULARY, WORD = 20_000, 12
+VOCABULARY, WORD = 20_000, 24
+#: What a sign that looks like several letters costs the automaton, what any other difference costs, and what a match may cost.
+UNSURE, EDIT, BUDGET = 0.1, 1.0, 0.9
 
 # Characters that are not seen.
 _UNSEEN = frozenset([0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFEFF, 0xFFA0, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)])
@@ -32,6 +35,12 @@ _LOOKS = {
     "аɑ": "a", "сϲ": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "јϳ": "j", "оο": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵν": "v", "ԝ": "w", "х": "x", "уγ": "y",
     "‐‑": "-",
 }
+# Signs that look like other letters too, or like letters only where the word says so.
+_ALIKE = {
+    "ι": "il", "κ": "k", "ρ": "p", "τ": "t", "υ": "uv", "χ": "x", "η": "n", "ω": "w", "σ": "o", "ν": "v", "γ": "y", "к": "k", "т": "t", "м": "m", "н": "h", "в": "b", "г": "r", "п": "n", "и": "u",
+    "ա": "w", "ո": "n", "ս": "u", "օ": "o", "հ": "h", "ց": "g", "զ": "q", "Տ": "S", "Օ": "O", "Լ": "L", "Ս": "U", "Ⲟ": "O", "ⲟ": "o", "ɡ": "g", "ɩ": "il", "ı": "i", "ł": "l", "−": "-", "–": "-", "ⅼ": "l",
+    "l": "I1", "I": "l1", "1": "lI", "|": "lI1", "O": "0", "0": "O", "o": "0",
+}
 _LOOK = {ord(c): v for k, v in _LOOKS.items() for c in k}
 #: Kinds of compatibility characters that are seen to differ from their plain ones.
 _SEEN = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>")
@@ -59,84 +68,86 @@ def by_table(text: str) -> str:
 
 
 class Trie:
-    """Words in canonical spelling, and the automaton that reads tokens along them."""
+    """Words in canonical spelling, the most frequent first, and the automaton that reads tokens along them."""
 
     def __init__(self, words: list[str]):
         self.root: dict = {}
-        for w in words:
+        for rank, w in enumerate(words):
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
-            node[""] = w
+            node.setdefault("", (rank, w))
 
-    def match(self, token: str, budget: int = 0) -> str | None:
-        """The word that the token spells at a cost within the budget: the cheapest, then the first in order."""
-        states = [(self.root, 0, 0, "")]  # node, cost, position, composed letter that the token's marks may still change
+    def match(self, token: str, budget: float = BUDGET) -> str | None:
+        """The word that the token spells at a cost within the budget: the cheapest, then the most frequent."""
+        states = [(self.root, 0.0, 0, "")]  # node, cost, position, letter that the token's marks may still change
         best = None
         seen = set()
         while states:
             node, cost, i, held = states.pop()
-            if (id(node), cost, i, held) in seen:
+            if cost > budget or (id(node), cost, i, held) in seen:
                 continue
             seen.add((id(node), cost, i, held))
-            if i == len(token):
-                if not held and "" in node and (best is None or (cost, node[""]) < best):
-                    best = (cost, node[""])
-                elif held and held in node and "" in node[held]:
-                    got = (cost, node[held][""])
-                    best = got if best is None or got < best else best
-                continue
-            c = canonical_char(token[i])
-            if not c:  # not seen: costs nothing
+            c = canonical_char(token[i]) if i < len(token) else None
+            if c == "":  # not seen: costs nothing
                 states.append((node, cost, i + 1, held))
                 continue
             if held:
-                whole = unicodedata.normalize("NFC", held + c)
+                whole = unicodedata.normalize("NFC", held + c) if c else ""
                 if len(whole) == 1:  # the mark belongs to the letter before
                     states.append((node, cost, i + 1, whole))
-                    continue
-                if held in node:
+                elif held in node:
                     states.append((node[held], cost, i, ""))
                 continue
-            step = node
-            for x in c[:-1]:
-                step = step.get(x) if step else None
-            if step is not None:
-                states.append((step, cost, i + 1, c[-1]))  # the same letter, or one that looks like it
-            if cost < budget:
-                states.append((node, cost + 1, i + 1, ""))
-                states += [(child, cost + 1, i + 1, "") for k, child in node.items() if k]
-                states += [(child, cost + 1, i, "") for k, child in node.items() if k]
-        return best[1] if best else None
+            if c is None:
+                if "" in node and (best is None or (cost, node[""]) < best):
+                    best = (cost, node[""])
+                if cost + EDIT <= budget:
+                    states += [(child, cost + EDIT, i, "") for k, child in node.items() if k]
+                continue
+            for form, more in ((c, 0.0), *((x, UNSURE) for x in _ALIKE.get(token[i], ""))):
+                step = node
+                for x in form[:-1]:
+                    step = step.get(x) if step else None
+                if step is not None and cost + more <= budget:
+                    states.append((step, cost + more, i + 1, form[-1]))
+            if cost + EDIT <= budget:
+                states.append((node, cost + EDIT, i + 1, ""))
+                states += [(child, cost + EDIT, i + 1, "") for k, child in node.items() if k]
+                states += [(child, cost + EDIT, i, "") for k, child in node.items() if k]
+        return best[1][1] if best else None
 
 
 _TOKEN = re.compile(r"[^\s　，。、；：？！（）,.;:?!()]+")
 _CLEAN = re.compile(r"[\n -~、。《》「」『』°Ω²³½¼¾①-⑳À-ÖØ-öø-ɏ㐀-䶿一-鿿]*")
+#: Signs and letters of ASCII mixed as in no word or number.
+_MIXED = re.compile(r"[a-z][01|][a-z]|(?<![A-Za-z0-9])[01|][a-z]{2}|[0-9][OlI|](?![A-Za-z])|(?<![A-Za-z0-9])[OlI|][0-9]")
+_RUNS = re.compile(r"[㐀-䶿一-鿿]+|[^㐀-䶿一-鿿]+")
 
 
 class Canonical:
-    """Texts to their canonical form, by trie and table."""
+    """Texts to their canonical form: tokens by the automaton where it knows them, else by the table."""
 
     def __init__(self, words: list[str]):
         self.words, self.trie = words, None
         self.known: dict[str, str] = {}
 
     def token(self, t: str) -> str:
-        if _CLEAN.fullmatch(t):
+        if _CLEAN.fullmatch(t) and not _MIXED.search(t):
             return t
         got = self.known.get(t)
         if got is None:
             if self.trie is None:
                 self.trie = Trie(self.words)
-            got = self.trie.match(t) if len(t) <= 4 * WORD else None
-            got = by_table(t) if got is None else got
+            # Words of letters and digits stand between ideographs without a space.
+            got = "".join(by_table(run) if (word := self.trie.match(run)) is None else word for run in _RUNS.findall(t))
             if len(self.known) > 200_000:
                 self.known.clear()
             self.known[t] = got
         return got
 
     def text(self, s: str) -> str:
-        if _CLEAN.fullmatch(s):
+        if _CLEAN.fullmatch(s) and not _MIXED.search(s):
             return s
         out, at = [], 0
         for m in _TOKEN.finditer(s):
@@ -150,10 +161,13 @@ class Canonical:
 
 
 def vocabulary(texts: DataFrame, size: int = VOCABULARY, word: int = WORD) -> list[str]:
-    """The ``size`` most frequent tokens of at most ``word`` letters over all texts (column ``t``), in canonical spelling."""
-    tokens = texts.select(F.explode(F.split("t", r"[\s　，。、；：？！（）,.;:?!()]+")).alias("w")).where(F.length("w").between(2, word) & F.col("w").rlike(r"^[A-Za-z0-9À-ɏΩ一-鿿-]+$"))
+    """The ``size`` most frequent words of letters and digits, of at most ``word`` of them, over all texts (column ``t``).
+
+    In canonical spelling, the most frequent first. Ideographs need none: no sign looks like several of them.
+    """
+    tokens = texts.select(F.explode(F.regexp_extract_all("t", F.lit(f"[A-Za-z0-9À-ɏ-]{{2,{word}}}"), F.lit(0))).alias("w"))
     top = tokens.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "w").limit(size)
-    return sorted({by_table(r.w) for r in top.collect()})
+    return list(dict.fromkeys(by_table(r.w) for r in top.collect()))
 
 
 def canonicalize(texts: DataFrame, text_col: str = "t", into: str = "canonical", words: list[str] | None = None) -> DataFrame:
@@ -178,12 +192,13 @@ def canonicalize(texts: DataFrame, text_col: str = "t", into: str = "canonical",
     return given.mapInArrow(run, schema)
 
 
-def same_look(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
-    """``field_name, id_1, id_2``: pairs of different texts of one field and scope that look the same, id_1 < id_2.
+def look_classes(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
+    """``field_name, scope, id, look, spelled, links``: every record whose text looks like another one's without being equal to it.
 
+    ``look`` names the class of all texts that look the same, ``spelled`` the text itself; ``links`` is the number of records of the
+    class that are spelled otherwise. One row a record, whatever the size of its class: this is the form for large classes.
     ``texts`` has ``field_name, scope, id, t``; texts of the same scope are compared. Null texts look like nothing; rows delivered
-    again count once; equal texts are no pair. Only digests are shuffled, and only those of classes that hold unlike spellings are
-    paired.
+    again count once. Only digests are shuffled; spellings are counted before they are.
     """
     words = vocabulary(texts.select("t").where("t is not null")) if words is None else words
     canon = Canonical(words)
@@ -197,15 +212,31 @@ def same_look(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
 
     src = texts.select("field_name", F.col("scope").cast("long").alias("scope"), F.col("id").cast("long").alias("id"), "t").where("t is not null and id is not null")
     forms = src.mapInArrow(run, "field_name string, scope long, id long, look binary, spelled binary")
-    mixed = forms.groupBy("field_name", "scope", "look").agg(F.min("spelled").alias("lo"), F.max("spelled").alias("hi")).where("lo <> hi").select("field_name", "scope", "look")
     key = ["field_name", "scope", "look"]
+    mixed = forms.groupBy(*key).agg(F.min("spelled").alias("lo"), F.max("spelled").alias("hi")).where("lo <> hi").select(*key)
     some = forms.join(mixed, key, "left_semi").distinct()
-    # Unlike spellings are paired first, then their ids: copies of one spelling are never set against each other.
-    spellings = some.select(*key, "spelled").distinct()
-    unlike = spellings.withColumnRenamed("spelled", "s1").join(spellings.withColumnRenamed("spelled", "s2"), key).where("s1 < s2")
-    a = some.withColumnsRenamed({"id": "a", "spelled": "s1"})
-    b = some.withColumnsRenamed({"id": "b", "spelled": "s2"})
-    pairs = unlike.join(a, [*key, "s1"]).join(b, [*key, "s2"]).where("a <> b")
+    n = some.groupBy(*key, "spelled").agg(F.count("*").alias("n"))
+    links = n.join(n.groupBy(*key).agg(F.sum("n").alias("all")), key).select(*key, "spelled", (F.col("all") - F.col("n")).alias("links"))
+    return some.join(links, [*key, "spelled"]).select("field_name", "scope", "id", "look", "spelled", "links")
+
+
+def same_look(texts: DataFrame, words: list[str] | None = None, block: int = 2_000) -> DataFrame:
+    """``field_name, id_1, id_2``: pairs of different texts of one field and scope that look the same, id_1 < id_2.
+
+    The pairs of ``look_classes``, for who needs them one by one. Unlike spellings are paired first, then blocks of at most about
+    ``block`` records of each, then the records: copies of one spelling are never set against each other, and a large class is
+    spread over its pairs of blocks.
+    """
+    key = ["field_name", "scope", "look"]
+    some = look_classes(texts, words).select(*key, "spelled", "id")
+    sizes = some.groupBy(*key, "spelled").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # Copies of a spelling get their block by their id; the number of blocks goes to them as a small row for each spelling.
+    placed = some.join(sizes, [*key, "spelled"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = lambda s, x: sizes.select(*key, F.col("spelled").alias(s), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(x))
+    unlike = spread("s1", "x1").join(spread("s2", "x2"), key).where("s1 < s2")
+    a = placed.select(*key, F.col("spelled").alias("s1"), F.col("part").alias("x1"), F.col("id").alias("a"))
+    b = placed.select(*key, F.col("spelled").alias("s2"), F.col("part").alias("x2"), F.col("id").alias("b"))
+    pairs = unlike.join(a, [*key, "s1", "x1"]).join(b, [*key, "s2", "x2"]).where("a <> b")
     return pairs.select("field_name", F.least("a", "b").alias("id_1"), F.greatest("a", "b").alias("id_2")).distinct()
 
 
@@ -230,3 +261,9 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 def p2_canonical(spark, sf_dir: str) -> DataFrame:
     """Every content, label and query in its canonical form."""
     return canonicalize(p2_texts(spark, sf_dir)).select("field_name", "id", "canonical").distinct()
+
+
+def p2_classes(spark, sf_dir: str) -> DataFrame:
+    """Every content, label and query that looks like another without being equal, with its class and number of links."""
+    c = look_classes(p2_texts(spark, sf_dir))
+    return c.select("field_name", "id", F.hex("look").alias("class_id"), "links").distinct()

@@ -6,7 +6,7 @@ from lexspark.llm import boilerplate, canon, knn, leak, markup, mojibake, pack,
 
 
 def queries() -> dict:
-    return {"p1_found": split.p1_found, "p1_pieces": split.p1_pieces, "p2_found": canon.p2_found, "p2_canonical": canon.p2_canonical, "p4_found": boilerplate.p4_found, "p3_found": knn.p3_found, "p5_found": markup.p5_found, "p7_containers": pack.p7_containers, "p8_found": leak.p8_found, "p9_found": mojibake.p9_found}
+    return {"p1_found": split.p1_found, "p1_pieces": split.p1_pieces, "p2_found": canon.p2_found, "p2_canonical": canon.p2_canonical, "p2_classes": canon.p2_classes, "p4_found": boilerplate.p4_found, "p3_found": knn.p3_found, "p5_found": markup.p5_found, "p7_containers": pack.p7_containers, "p8_found": leak.p8_found, "p9_found": mojibake.p9_found}
 
 
 # By brute force over all pairs: for small data only.
