@@ -2,7 +2,7 @@
 
 Method: block matrix join. Vectors go to the cells of a coarse partition (each to its nearest cell, and to the second nearest too
 where that one is nearly as near); a cell is one block, joined with itself by int8 product tiles. The products of the int8 codes
-are exact (float32 holds the integers), and the quantisation errors bound the true cosine from both sides; pairs whose upper bound
+are exact (float32, for more than 1,040 dimensions float64, holds the integers), and the quantisation errors bound the true cosine from both sides; pairs whose upper bound
 reaches the k-th best lower bound survive, are computed again in float64 and merged best-first.
 
 Scale: the partition is fitted on a bounded sample (``SAMPLE`` vectors at most, ``CELLS`` centroids at most); every vector is
@@ -111,7 +111,9 @@ def _assign(dim: int, cells: np.ndarray, splits: np.ndarray, margin: float):
             s = splits[cell]
             reps = np.repeat(np.arange(len(who)), s)
             other = np.concatenate([np.arange(k) for k in s]) if (s > 1).any() else np.zeros(len(who), int)
-            own = (ids[who[reps]] % s[reps]).astype(np.int64)
+            # Mixed bits of the id: ids with a common factor fill all blocks alike.
+            mixed = (ids[who[reps]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            own = (mixed % s[reps].astype(np.uint64)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(cell[reps], pa.int32()),
@@ -156,15 +158,15 @@ def block_neighbours(ids: np.ndarray, x: np.ndarray, k: int, block: np.ndarray |
     scale = np.abs(u).max(axis=1) / 127
     q = np.rint(u / scale[:, None]).astype(np.int8)
     err = np.sqrt(((u - q * scale[:, None]) ** 2).sum(axis=1))
-    qf = q.astype(np.float32)
+    qf = q.astype(np.float32 if x.shape[1] * 127**2 < 2**24 else np.float64)  # holds the integers of the products
     size = np.sqrt((qf.astype(np.float64) ** 2).sum(axis=1)) * scale  # length of the code's vector
     by_id = np.argsort(ids, kind="stable")
     out = []
     for i in range(0, len(ids), TILE):
         r = slice(i, min(i + TILE, len(ids)))
-        dot = qf[r] @ qf.T  # integers under 2**24: exact
-        dot *= scale.astype(np.float32)[r, None]
-        dot *= scale.astype(np.float32)[None, :]
+        dot = qf[r] @ qf.T  # exact
+        dot *= scale.astype(qf.dtype)[r, None]
+        dot *= scale.astype(qf.dtype)[None, :]
         n = dot.shape[0]
         if block is None:
             dot[np.arange(n), np.arange(r.start, r.stop)] = -9

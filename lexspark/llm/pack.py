@@ -17,6 +17,7 @@ import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,18 @@ from pyspark.sql.window import Window
 
 from lexspark.runtime import cut
 
-CAPACITY, GROUPS, TOKENIZER = 2_048, 40, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+CAPACITY, GROUPS = 2_048, 40
 #: The largest length that counts as small, as a share of the capacity.
 SMALL = 1 / 8
 
 
+def vocabulary_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """A vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return str(Path(public_tokenizers.__file__).with_name(name))
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The byte-level tokenizer of a ranks file."""
@@ -42,8 +50,8 @@ def tokenizer(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of every text that isn't null or empty, once for each id."""
+def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens`` of every text that isn't null or empty, once for each id, by the tokenizer of the ranks file ``path``."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).where("doc_id is not null and t is not null and t <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,17 +75,20 @@ def group_sizes(hist: dict[int, int], groups: int) -> list[tuple[int, int, int]]
     return out
 
 
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
-    """(places by size, containers): whole numbers that give every item a place; sizes each at most the capacity.
+def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2_000) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """([(places by size, containers)], bound): whole numbers that give every item a place; sizes each at most the capacity.
 
-    Gilmore and Gomory's column generation: the revised simplex over configurations, priced by an unbounded knapsack.
+    Gilmore and Gomory's column generation: the revised simplex over configurations, priced by an unbounded knapsack, to the optimum
+    or for ``rounds`` exchanges. No packing of these sizes needs fewer containers than ``bound`` (the optimum, or Farley's bound
+    where the rounds end before it), so what the plan has more is known.
     """
     k = len(sizes)
     if not k:
-        return []
+        return [], 0.0
     w, d = np.array(sizes), np.array(demand, float)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
     x = np.linalg.solve(basis, d)
+    bound = 0.0
     for _ in range(rounds):
         y = np.linalg.solve(basis.T, np.ones(k))
         best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
@@ -89,6 +100,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
                 best[c], pick[c] = value[g], g
             else:
                 best[c], pick[c] = best[c - 1], -2
+        bound = max(bound, float(y @ d) / max(1.0, best[capacity]))
         if best[capacity] <= 1 + 1e-7:
             break
         a, c = np.zeros(k), capacity
@@ -118,7 +130,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
         times = int(min(rest[g] // a[g] for g in range(k) if a[g]))
         out.append((a, times))
         rest -= a * times
-    return [(a, n) for a, n in out if n]
+    return [(a, n) for a, n in out if n], bound
 
 
 def fill_small(hist: dict[int, int], rooms: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
@@ -209,7 +221,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, id_co
     small = max(1, int(capacity * SMALL))
     large = {s: c for s, c in hist.items() if s > small}
     bins = group_sizes(large, groups) if large else []
-    plan = configurations([top for _, top, _ in bins], [c for *_, c in bins], capacity)
+    plan, _ = configurations([top for _, top, _ in bins], [c for *_, c in bins], capacity)
     rules, at, containers = [], [0] * len(bins), 0
     for a, n in plan:
         for g, times in enumerate(a):
@@ -243,4 +255,26 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, id_co
 
 def p7_containers(spark, sf_dir: str) -> DataFrame:
     """All documents in containers of 2,048 tokens."""
-    return pack(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return pack(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_file()))
+
+
+def check(placed: DataFrame, sizes: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """One row about an assignment of items: ``items, astray, overfull, containers, least``.
+
+    ``astray``: items of which not every token is in exactly one place, or that are split without need; ``overfull``: containers
+    beyond the capacity; ``least``: the containers that all tokens need at least.
+    """
+    want = sizes.select(F.col(id_col).alias("doc_id"), F.col(size_col).alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
+    ends = F.sum(F.when(F.col("from_token") % capacity != 0, 1).otherwise(0)).alias("odd")
+    got = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"), F.countDistinct("from_token").alias("places"), ends)
+    right = (F.col("tokens") == F.col("size")) & (F.col("n") == F.ceil(F.col("size") / capacity)) & (F.col("n") == F.col("places")) & (F.col("odd") == 0)
+    items = want.join(got, "doc_id", "full").agg(F.count("size").alias("items"), F.sum(F.when(F.coalesce(right, F.lit(False)), 0).otherwise(1)).alias("astray"), F.ceil(F.sum("size") / capacity).alias("least"))
+    full = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.sum((F.col("t") > capacity).cast("int")).alias("overfull"), F.count("*").alias("containers"))
+    return items.crossJoin(F.broadcast(full)).select("items", "astray", "overfull", "containers", "least")  # one row each
+
+
+def p7_check(spark, sf_dir: str) -> DataFrame:
+    """Whether every document is in its place, no container too full, and at most 3 % of them (and one) more than all tokens need."""
+    sizes = cut(token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary_file()))
+    c = check(pack(sizes), sizes)
+    return c.select("items", "astray", "overfull", (F.col("containers") <= F.ceil(1.03 * F.col("least")) + 1).alias("well_filled"))

@@ -130,3 +130,16 @@ def test_block_bounds_keep_the_best(k):
     for a, b in zip(left, right):
         have.setdefault(int(a), []).append(int(b))
     assert have == want
+
+
+def test_more_dimensions_than_float32_holds():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 1_500)).astype(np.float32)
+    ids = np.arange(200) * 64
+    left, right, cos = knn.block_neighbours(ids, x, 3)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    np.fill_diagonal(s, -9)
+    for i in range(0, 200, 20):
+        mine = sorted(zip(-np.round(cos[left == i], 9), right[left == i]))[:3]
+        assert [j for _, j in mine] == np.argsort(-s[i], kind="stable")[:3].tolist()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lexspark.llm.pack import configurations, fill_small, group_sizes, pack, token_counts
+from lexspark.llm.pack import configurations, fill_small, group_sizes, pack, token_counts, vocabulary_file
 
 
 def check(spark, sizes, capacity=2048):
@@ -45,7 +45,8 @@ def test_edges(spark):
 
 def test_configurations_place_every_item():
     sizes, demand = [1500, 1000, 700, 400], [10, 33, 51, 70]
-    plan = configurations(sizes, demand, 2048)
+    plan, bound = configurations(sizes, demand, 2048)
+    assert 0 < bound <= sum(n for _, n in plan) <= bound + len(sizes)
     assert [sum(int(a[g]) * n for a, n in plan) for g in range(4)] == demand
     assert all(sum(int(a[g]) * sizes[g] for g in range(4)) <= 2048 for a, _ in plan)
 
@@ -59,5 +60,5 @@ def test_small_go_best_fit():
 
 def test_counts(spark):
     df = spark.createDataFrame([(1, "第一條 hello"), (1, "第一條 hello"), (2, None), (3, "")], "doc_id long, text string")
-    r = token_counts(df).collect()
+    r = token_counts(df, vocabulary_file()).collect()
     assert len(r) == 1 and r[0].n_tokens > 2
