@@ -41,9 +41,8 @@ def token_limits(prompts: DataFrame, profiles: DataFrame, default: tuple[int, in
     ``profiles``: ``model, context_tokens, output_tokens, found_context`` (what the model itself says, or null), one row a model.
     """
     from lexspark.functions.text import output_tokens, token_estimate
-    from lexspark.operators.retrieval import small
 
-    j = prompts.join(small(profiles), "model", "left")
+    j = prompts.join(profiles, "model", "left")
     context = F.least(F.coalesce("context_tokens", F.lit(default[0])), F.coalesce("found_context", "context_tokens", F.lit(default[0])))
     out, n = F.coalesce("output_tokens", F.lit(default[1])), token_estimate(F.col("prompt"))
     return j.select("model", "prompt", context.alias("context_tokens"), out.alias("configured_output"), n.alias("prompt_tokens"), output_tokens(out, context, n, safety).alias("effective_output"))

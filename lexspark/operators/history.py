@@ -144,8 +144,11 @@ def version_history(
         .where("row_id is not null")
         .select(F.col("entity").alias("n_entity"), F.col("part").alias("n_part"), F.col("row_id").alias("n_id"), F.col("at").alias("n_at"))
     )
-    open_end = v.where("last_here").select("entity", "part")
-    closing = open_end.join(F.broadcast(firsts), (F.col("entity") == F.col("n_entity")) & (F.col("n_part") > F.col("part"))).groupBy("entity", "part").agg(F.min_by(F.struct("n_id", "n_at"), "n_part").alias("c"))
+    # The next opening of the same entity in a later partition, by one pass over its borders from the last to the first.
+    borders = v.where("last_here").select("entity", "part", F.lit(0).alias("opens"), F.lit(None).cast("struct<n_id: bigint, n_at: timestamp_ntz>").alias("c"))
+    borders = borders.unionByName(firsts.select(F.col("n_entity").alias("entity"), F.col("n_part").alias("part"), F.lit(1).alias("opens"), F.struct("n_id", "n_at").alias("c")))
+    after = Window.partitionBy("entity").orderBy(F.desc("part"), "opens").rowsBetween(Window.unboundedPreceding, -1)
+    closing = borders.withColumn("c", F.last("c", ignorenulls=True).over(after)).where("opens = 0 and c is not null")
     closing = closing.select(F.col("entity").alias("c_entity"), F.col("part").alias("c_part"), F.col("c.n_id").alias("c_id"), F.col("c.n_at").alias("c_at"))
     done = v.join(F.broadcast(closing), (F.col("entity") == F.col("c_entity")) & (F.col("part") == F.col("c_part")) & F.col("last_here"), "left")
     closed = F.coalesce("next_id", "c_id")

@@ -1,28 +1,34 @@
-"""Index, lexical and vector retrieval for batches of queries: every operator takes a table of queries."""
+"""Index, lexical and vector retrieval for batches of queries: every operator takes a table of queries.
+
+The index is a set of tables in one folder, written once and read by every search: postings by bucket of the term with each
+document's length, document frequencies, the corpus' statistics, and the provisions with their vectors and what scoring needs of
+them. A search reads the buckets of its terms and the provisions that are candidates.
+"""
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from lexspark.functions import text as X
-from lexspark.runtime import cut, tasks
+from lexspark.runtime import cut, read_rows, shared_path, tasks
 
 K1, B = 1.2, 0.75
 #: Candidates by BM25, weight of the hash vectors, gain for a matched title.
 CANDIDATES, HASH_WEIGHT, TITLE_BOOST = 300, 0.30, 0.12
-#: A table of queries up to this many rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 20_000
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, to be broadcast if it is seen to have at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: Terms of queries (query and term, some 60 bytes each) up to which they are broadcast to the postings.
+BROADCAST_TERMS = 500_000
+#: Parts of a bucket of postings.
+SPREAD = 16
+#: Columns of a provision that its index terms come from.
+INDEXED = ("law_title", "article_label", "heading", "content")
 
 
 def current_chunks(chunks: DataFrame, versions: DataFrame, laws: DataFrame, vectors: bool = False) -> DataFrame:
@@ -51,25 +57,96 @@ def doc_lengths(docs: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame
     return docs.select(F.col(id_col).alias("doc"), F.size(F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in text_cols))).cast("long").alias("dl"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, id_col: str, text_cols: list[str], k: int) -> DataFrame:
-    """``query_id, doc, score, rank``: the k best documents of each query by BM25 over its terms; of equals the smaller id first.
+#: Columns of the tables that are laid out by bucket (without rows they have no files).
+_TABLES = {"postings": "doc long, term string, dl long, tf long, bucket int", "terms": "term string, df long, bucket int"}
+
+
+class Index:
+    """The tables of an index in a folder."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self._buckets: int | None = None
 
-    ``queries`` has ``query_id, query``. Only the queries' terms are counted in the documents: the documents' terms are cut down
-    by a semi-join with them before anything is shuffled. Documents that come partitioned by id (as of ``current_chunks``) stay
-    where they are: counts and scores of a document are summed where it is, only each task's best go to the queries.
+    @property
+    def buckets(self) -> int:
+        if self._buckets is None:
+            self._buckets = self.table("stats").first()["buckets"]
+        return self._buckets
+
+    def table(self, name: str) -> DataFrame:
+        """``postings`` (term, doc, tf, dl, bucket), ``terms`` (term, df, bucket), ``stats`` (n, avgdl, buckets), of provisions ``docs`` and ``titles``."""
+        read = self.spark.read.schema(_TABLES[name]) if name in _TABLES else self.spark.read
+        return read.parquet(f"{self.path}/{name}")
+
+
+def bucket_of(term: Column, buckets: Column | int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets) if isinstance(buckets, int) else buckets).cast("int")
+
+
+def write_postings(docs: DataFrame, id_col: str, text_cols: list[str], path: str | None = None, buckets: int | None = None) -> Index:
+    """Postings, document frequencies and statistics of the documents' index terms, under ``path`` (else in the shared folder).
+
+    Postings are laid out by bucket of the term, each bucket in ``SPREAD`` parts by document: a document has a term once, so no term
+    can hold more than a small share of all rows, and one that every document has is spread over that many tasks.
     """
-    want = queries.select("query_id", F.explode(X.match_terms(F.col("query"))).alias("term")).distinct()
-    terms = small(want.select("term").distinct(), 200_000)
-    words = docs.select(F.col(id_col).alias("doc"), F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in text_cols)).alias("terms"))
+    spark = docs.sparkSession
+    n = tasks(spark)
+    index = Index(spark, path or shared_path(spark, "index"))
+    buckets = buckets or max(16, n)
+    words = docs.select(F.col(id_col).cast("long").alias("doc"), F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in text_cols)).alias("terms"))
     one = words.select("doc", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
-    tf = one.join(terms, "term", "left_semi").groupBy("doc", "term", "dl").agg(F.count("*").alias("tf"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("terms").cast("long")).alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = one.groupBy("doc", "term", "dl").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    tf.repartition(n, "bucket", F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/postings")
+    df = index.table("postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    df.repartition(n, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/terms")
+    lengths = docs.select("dl") if "dl" in docs.columns else words.select(F.size("terms").cast("long").alias("dl"))
+    lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(buckets).alias("buckets")).coalesce(1).write.parquet(f"{index.path}/stats")
+    return index
+
+
+def build_index(chunks: DataFrame, path: str | None = None, embed: Callable[[Column], Column] | None = None) -> Index:
+    """The index of provisions as of ``current_chunks``: postings of all their columns, and ``docs`` with their vectors and terms.
+
+    ``embed`` makes the vectors (``cv``) from a provision's title, heading, label and content; without it hash vectors.
+    """
+    index = Index(chunks.sparkSession, path or shared_path(chunks.sparkSession, "index"))
+    text = F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
+    dl = F.size(F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in INDEXED))).cast("long")
+    full = chunks.withColumns({"dl": dl, "cv": (embed or hash_embedding)(text), "ps": X.provision_side(F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content"))})
+    full.write.parquet(f"{index.path}/docs")
+    docs = index.table("docs")
+    docs.select(F.col("law_title").alias("title")).distinct().coalesce(tasks(index.spark)).write.parquet(f"{index.path}/titles")
+    return write_postings(docs.select("chunk_id", *INDEXED, "dl"), "chunk_id", list(INDEXED), index.path)
+
+
+def _wanted(queries: DataFrame, index: Index) -> tuple[DataFrame, list[int], bool]:
+    """(``query_id, term, bucket``, the buckets that the terms lie in, whether the terms are few enough to be broadcast).
+
+    The buckets are at most as many as the index has. They and the number of terms come from one job.
+    """
+    want = queries.select("query_id", F.explode(X.match_terms(F.col("query"))).alias("term")).distinct()
+    want = want.withColumn("bucket", bucket_of(F.col("term"), index.buckets))
+    seen = want.agg(F.collect_set("bucket").alias("buckets"), F.count("*").alias("n")).first()
+    return want, sorted(seen["buckets"]), seen["n"] <= BROADCAST_TERMS
+
+
+def bm25_topk(queries: DataFrame, index: Index, k: int, wanted: tuple[DataFrame, list[int], bool] | None = None) -> DataFrame:
+    """``query_id, doc, score, rank``: the k best documents of each query by BM25 over its terms; of equals the smaller id first.
+
+    ``queries`` has ``query_id, query``. Only the buckets of the queries' terms are read from the index, no text. A query without
+    terms, or whose terms stand nowhere, gives no rows.
+    """
+    want, buckets, few = wanted or _wanted(queries, index)
+    near = lambda name: index.table(name).where(F.col("bucket").isin(buckets))
+    known = want.join(near("terms"), ["bucket", "term"])
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighted = tf.join(small(df, 200_000), "term").crossJoin(F.broadcast(stats))  # one row
-    weight = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    known = known.crossJoin(F.broadcast(index.table("stats"))).select("query_id", "bucket", "term", "avgdl", idf.alias("idf"))  # one row of statistics
+    weight = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     # Whole numbers (of 1e-9) add up the same in any order.
-    hits = weighted.select("doc", "term", F.round(weight * 1e9).cast("long").alias("w")).join(small(want, 400_000), "term").groupBy("query_id", "doc").agg(F.round(F.sum("w") / 1e9, 6).alias("score"))
+    scored = near("postings").join(F.broadcast(known), ["bucket", "term"]) if few else near("postings").hint("merge").join(known, ["bucket", "term"])
+    scored = scored.select("query_id", "doc", F.round(weight * 1e9).cast("long").alias("w"))
+    hits = scored.groupBy("query_id", "doc").agg(F.round(F.sum("w") / 1e9, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
@@ -85,62 +162,73 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+_BLOCKS: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+
+def _query_blocks(path: str, block: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The queries' ids and unit vectors from the shared folder, in blocks; a worker keeps those of one search."""
+    if path not in _BLOCKS:
+        _BLOCKS.clear()
+        t = read_rows(path)
+        ids = t.column("query_id").to_numpy()
+        q = np.array(t.column("vector").to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        _BLOCKS[path] = [(ids[i : i + block], q[i : i + block]) for i in range(0, len(ids), block)]
+    return _BLOCKS[path]
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 2_000) -> DataFrame:
     """``query_id, doc, score, rank``: the k most similar vectors of each query vector, by matrix products block by block.
 
-    ``queries`` has ``query_id, vector`` and is read in blocks of at most ``block`` rows, each a scan over ``vectors``
-    (``doc, vector``); a query isn't its own neighbour where the ids are equal. Of equals the smaller id first.
+    ``queries`` has ``query_id, vector``; they are written to the shared folder, where tasks read them, and all their blocks go over
+    ``vectors`` (``doc, vector``) in one scan, which keeps k rows a query and batch. A query isn't its own neighbour where the ids
+    are equal. Of equals the smaller id first.
     """
-    n = queries.count()
-    parts = max(1, -(-n // block))
-    out = None
-    for i in range(parts):
-        part = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        rows = part.select("query_id", "vector").collect()
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        q = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(ids), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches, ids=ids, q=q):
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                v = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                doc = pdf["doc"].to_numpy()
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, 6)
+    path = shared_path(queries.sparkSession, "queries")
+    queries.select("query_id", "vector").write.parquet(path)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.array(pdf["vector"].tolist(), dtype=np.float64)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            doc = pdf["doc"].to_numpy()
+            take = np.argsort(doc, kind="stable")
+            for ids, q in _query_blocks(path, block):
+                s = np.round(q @ v.T, 6)
                 s[ids[:, None] == doc[None, :]] = -9
-                take = np.argsort(doc, kind="stable")
                 best = np.argsort(-s[:, take], axis=1, kind="stable")[:, :k]
                 a = np.repeat(np.arange(len(ids)), best.shape[1])
                 b = take[best.ravel()]
                 ok = s[a, b] > -2
                 yield pd.DataFrame({"query_id": ids[a[ok]], "doc": doc[b[ok]], "score": s[a[ok], b[ok]]})
 
-        hits = vectors.mapInPandas(run, "query_id long, doc long, score double")
-        out = hits if out is None else out.unionByName(hits)
+    out = vectors.mapInPandas(run, "query_id long, doc long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc")
     return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def hash_embedding(c: Column, dim: int = 384) -> Column:
-    """Signed counts of a text's runs of one to three characters in ``dim`` buckets (BLAKE2b), of length 1."""
-    from pyspark.sql.functions import pandas_udf
+    """Signed counts of a text's runs of one to three characters in ``dim`` buckets (BLAKE2b), of length 1.
+
+    Every run is hashed once a batch; a text's counts are added up at once.
+    """
 
     @pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, tuple[int, float]] = {}
+        known: dict[str, int] = {}
+
+        def code(g: str) -> int:
+            x = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
+            known[g] = y = (x % dim + 1) * (-1 if x >> 63 else 1)
+            return y
 
         def one(t: str | None) -> np.ndarray:
-            v = np.zeros(dim)
             s = "".join((t or "").lower().split())
-            for n in (1, 2, 3):
-                for i in range(len(s) - n + 1):
-                    g = s[i : i + n]
-                    if g not in known:
-                        x = int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "little")
-                        known[g] = (x % dim, -1.0 if x >> 63 else 1.0)
-                    b, sign = known[g]
-                    v[b] += sign
+            runs = [*s, *map("".join, zip(s, s[1:])), *map("".join, zip(s, s[1:], s[2:]))]
+            at = np.fromiter((known.get(g) or code(g) for g in runs), np.int64, len(runs))
+            v = np.bincount(np.abs(at) - 1, np.sign(at), dim)
             return (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
         return texts.map(one)
@@ -148,6 +236,23 @@ def hash_embedding(c: Column, dim: int = 384) -> Column:
     return embed(c)
 
 
+def remote_embedding(client: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64) -> Callable[[Column], Column]:
+    """An embedder for ``build_index`` and ``hybrid_topk`` behind a client that is passed in; a wrong number or length of vectors is an error."""
+
+    @pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for i in range(0, len(texts), batch):
+            part = [t or "" for t in texts.iloc[i : i + batch]]
+            got = client(part)
+            if len(got) != len(part) or any(len(v) != dim for v in got):
+                raise ValueError(f"{len(part)} texts gave {len(got)} vectors, wanted of {dim} numbers each")
+            out += [np.asarray(v, np.float32) for v in got]
+        return pd.Series(out)
+
+    return embed
+
+
 def hash_embedding_md5(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """``doc, bucket, value``: the same idea with MD5, all inside SQL; buckets of value 0 are left out."""
     t = X.squash(F.lower(F.col(text_col)))
@@ -158,17 +263,30 @@ def hash_embedding_md5(docs: DataFrame, id_col: str, text_col: str, dim: int = 6
     return sums.select("doc", "bucket", F.round(F.col("s") / norm, 6).alias("value"))
 
 
-def matched_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
-    """``query_id, title``: the titles that a query means: contained in it, or its long key in the query's; the longest only.
+def title_matches(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """``query_id, title``: the titles that a query contains, or whose long key its own key contains.
 
-    ``titles`` has ``title``. The theta join runs over all titles against the queries as a broadcast side of a checked size.
+    ``titles`` has ``title``. Titles and queries meet by the first characters of the title (three) or key (six) among the query's
+    runs of that length; what meets is then confirmed.
     """
-    q = small(queries.select("query_id", "query", X.title_key(X.normalize_query(F.col("query"))).alias("qk")))
+    q = queries.select("query_id", "query", X.title_key(X.normalize_query(F.col("query"))).alias("qk")).where("query is not null")
+    q = q.withColumn("run", F.explode(F.array_distinct(F.concat(X.grams(F.col("query"), 3), X.grams(F.col("qk"), 6)))))
     t = titles.select("title").where("title is not null").distinct().withColumn("tk", X.title_key(F.col("title")))
+    t = t.withColumn("run", F.explode(F.array_compact(F.array(F.when(F.length("title") >= 3, F.substring("title", 1, 3)), F.when((F.length("title") >= 3) & (F.length("tk") >= 6), F.substring("tk", 1, 6))))))
     inside = F.contains(F.col("query"), F.col("title")) | ((F.length("tk") >= 6) & F.contains(F.col("qk"), F.col("tk")))
-    m = t.join(q, (F.length("title") >= 3) & inside).select("query_id", "title")
-    longer = m.select("query_id", F.col("title").alias("other"))
-    return m.join(longer, "query_id", "left").groupBy("query_id", "title").agg(F.max((F.col("title") != F.col("other")) & F.contains(F.col("other"), F.col("title"))).alias("within")).where("not within").select("query_id", "title")
+    return q.join(t, "run").where(inside).select("query_id", "title").distinct()
+
+
+def longest_titles(matches: DataFrame) -> DataFrame:
+    """Without the titles that another title of the same query contains."""
+    other = matches.select("query_id", F.col("title").alias("other"))
+    within = matches.join(other, "query_id").where((F.col("title") != F.col("other")) & F.contains("other", F.col("title"))).select("query_id", "title")
+    return matches.join(within.distinct(), ["query_id", "title"], "left_anti")
+
+
+def matched_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
+    """``query_id, title``: the titles that a query means, the longest only."""
+    return longest_titles(title_matches(queries, titles))
 
 
 def article_scope(queries: DataFrame, titles: DataFrame) -> DataFrame:
@@ -180,57 +298,99 @@ def article_scope(queries: DataFrame, titles: DataFrame) -> DataFrame:
 def exact_article(scope: DataFrame, chunks: DataFrame) -> DataFrame:
     """The provisions that a scope (``query_id, title, article``) names, with all scores 1, by law and order."""
     own = chunks.withColumn("canonical", F.coalesce(X.canonical_label(F.col("article_label")), X.squash(F.col("article_label"))))
-    return own.join(small(scope), (own.law_title == scope.title) & (own.canonical == scope.article)).select("query_id", *chunks.columns, F.lit(1.0).alias("hybrid_score"), F.lit("exact_article").alias("retrieval_mode"))
+    return own.join(scope, (own.law_title == scope.title) & (own.canonical == scope.article)).select("query_id", *chunks.columns, F.lit(1.0).alias("hybrid_score"), F.lit("exact_article").alias("retrieval_mode"))
 
 
 def section_search(scope: DataFrame, chunks: DataFrame) -> DataFrame:
     """All provisions under the heading that a scope (``query_id, title, heading_term``) names, deleted ones apart; no top-k."""
     hit = (chunks.law_title == scope.title) & F.contains(chunks.heading, scope.heading_term)
-    return chunks.join(small(scope), hit).where(~X.is_deleted(F.col("article_label"), F.col("content"))).select("query_id", *chunks.columns, F.lit("structural_section").alias("retrieval_mode"))
+    return chunks.join(scope, hit).where(~X.is_deleted(F.col("article_label"), F.col("content"))).select("query_id", *chunks.columns, F.lit("structural_section").alias("retrieval_mode"))
+
+
+def _sparse(v: Column) -> Column:
+    """The places and values of a vector that aren't 0."""
+    return F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda p: p["x"] != 0)
 
 
-def hybrid_topk(queries: DataFrame, chunks: DataFrame, k: int, candidates: int = CANDIDATES, weight: float = HASH_WEIGHT, vectors: str | None = None, dim: int = 384, lexical: str = "bm25") -> DataFrame:
+def _without_candidates(asked: DataFrame, index: Index, wanted: tuple[DataFrame, list[int], bool], titles: DataFrame, k: int, weight: float) -> DataFrame | None:
+    """``query_id, chunk_id``: the best k of all provisions for queries whose terms and titles stand nowhere; None if there are none.
+
+    Nothing of such a query stands in a text, so a provision's words count only by defining something where the query asks for
+    definitions; all else is the vectors' product, taken batch by batch with k rows kept a query.
+    """
+    want, buckets, _ = wanted
+    hit = want.join(index.table("terms").where(F.col("bucket").isin(buckets)), ["bucket", "term"]).select("query_id").union(titles.select("query_id")).distinct()
+    if asked.select("query_id").join(hit, "query_id", "left_anti").isEmpty():
+        return None
+    path = shared_path(index.spark, "lost")
+    asked.join(hit, "query_id", "left_anti").select("query_id", "qv", (F.col("qs.defines") & F.col("qs.explicit")).alias("defines")).write.parquet(path)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q = read_rows(path)
+            doc = pdf["chunk_id"].to_numpy()
+            v = np.array(pdf["cv"].tolist(), dtype=np.float64)
+            for i in range(0, len(q), 2_000):
+                part = q.slice(i, 2_000)
+                s = np.round(np.clip(np.array(part.column("qv").to_pylist(), dtype=np.float64) @ v.T, 0, 1), 6) * weight
+                s = np.round(s + 0.55 * (1 - weight) * np.outer(part.column("defines").to_numpy(zero_copy_only=False), pdf["defined"].to_numpy()), 6)
+                order = np.argsort(doc, kind="stable")
+                best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
+                yield pd.DataFrame({"query_id": np.repeat(part.column("query_id").to_numpy(), best.shape[1]), "chunk_id": doc[best.ravel()], "s": np.take_along_axis(s, best, 1).ravel()})
+
+    found = index.table("docs").select("chunk_id", "cv", (F.size("ps.defined") > 0).alias("defined")).mapInPandas(run, "query_id long, chunk_id long, s double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id")
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "chunk_id")
+
+
+def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CANDIDATES, weight: float = HASH_WEIGHT, embed: Callable[[Column], Column] | None = None, lexical: str = "bm25", only: DataFrame | None = None) -> DataFrame:
     """The k best provisions of each query by words and vectors together; of equals the smaller id first.
 
-    ``queries`` has ``query_id, query``; ``chunks`` is as of ``current_chunks``. Candidates are the best by BM25 and all
-    provisions of the laws that the query means; a query without either is scored against all. ``vectors`` names a column of
-    stored vectors; without it the text's hash vector is made. ``lexical="trigram"`` scores by shared runs of three characters
-    instead of words, without the gain for titles.
+    ``queries`` has ``query_id, query``. Candidates are the best by BM25 and all provisions of the laws that the query means; a query
+    without either is scored against all. ``embed`` makes the queries' vectors and must be the index's. ``lexical="trigram"`` scores
+    by shared runs of three characters instead of words, without the gain for titles. ``only`` (``query_id, law_title``) keeps a
+    query's hits to one law.
     """
-    q = queries.select("query_id", X.normalize_query(F.col("query")).alias("query"))
-    q = q.withColumn("lex", X.expand_query(F.col("query")))
-    titles = cut(matched_titles(q, chunks.select(F.col("law_title").alias("title"))))
-    top = bm25_topk(q.select("query_id", F.col("lex").alias("query")), chunks, "chunk_id", ["law_title", "article_label", "heading", "content"], candidates).select("query_id", F.col("doc").alias("chunk_id"))
-    by_title = chunks.select("chunk_id", "law_title").join(small(titles), chunks.law_title == titles.title).select("query_id", "chunk_id")
-    pairs = cut(top.unionByName(by_title).distinct())  # ids only; read several times below
-    lost = q.select("query_id").join(pairs.select("query_id").distinct(), "query_id", "left_anti")
-    pairs = pairs.unionByName(chunks.select("chunk_id").join(small(lost), F.lit(True)).select("query_id", "chunk_id"))
-    # Everything that depends on the query or the provision alone is computed once for each, before they are paired.
+    docs = index.table("docs")
     by_words = lexical != "trigram"
-    asked = q.withColumns({"qv": hash_embedding(F.col("query"), dim), "qs": X.query_side(F.col("lex")) if by_words else X.trigrams(F.col("lex"))})
-    text = F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
-    told = chunks.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    told = told.withColumns({"cv": F.col(vectors) if vectors else hash_embedding(text, dim), "ps": X.provision_side(F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content")) if by_words else F.array(*map(X.trigrams, (F.col("content"), F.col("law_title"), F.concat("law_title", F.coalesce("article_label", F.lit(""))))))})
-    full = pairs.repartition(tasks(chunks.sparkSession), "chunk_id").join(told, "chunk_id").join(small(asked), "query_id").join(small(titles.withColumn("named", F.lit(True))).withColumnRenamed("title", "law_title"), ["query_id", "law_title"], "left")
-    vec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("qv"), F.col("cv")) if vectors else dot(F.col("qv"), F.col("cv"))))
+    q = queries.select("query_id", X.normalize_query(F.col("query")).alias("query")).withColumn("lex", X.expand_query(F.col("query")))
+    asked = q.withColumns({"qv": (embed or hash_embedding)(F.col("query")), "qs": X.query_side(F.col("lex"))})
+    titles = matched_titles(q, index.table("titles"))
+    wanted = _wanted(q.select("query_id", F.col("lex").alias("query")), index)
+    top = bm25_topk(q.drop("query"), index, candidates, wanted).select("query_id", F.col("doc").alias("chunk_id"))
+    by_title = docs.select("chunk_id", "law_title").join(titles, docs.law_title == titles.title).select("query_id", "chunk_id")
+    pairs = top.withColumn("named", F.lit(False)).unionByName(by_title.withColumn("named", F.lit(True)))
+    if (rest := _without_candidates(asked, index, wanted, titles, k, weight)) is not None:
+        pairs = pairs.unionByName(rest.withColumn("named", F.lit(False)))
+    pairs = pairs.groupBy("query_id", "chunk_id").agg(F.max("named").alias("named"))
+    sides = asked.select("query_id", _sparse(F.col("qv")).alias("qv"), "qs", X.trigrams(F.col("lex")).alias("qt"))
+    full = pairs.join(docs.hint("merge"), "chunk_id").join(sides, "query_id")  # wide rows: never a broadcast
+    if only is not None:
+        full = full.join(only.select("query_id", "law_title"), ["query_id", "law_title"], "left_semi")
+    # Few of a query's places aren't 0; the vectors have length 1.
+    product = F.aggregate("qv", F.lit(0.0), lambda s, p: s + p["x"] * F.get("cv", p["i"]).cast("double"))
+    vec = F.greatest(F.lit(0.0), F.least(F.lit(1.0), product))
     if by_words:
         lex = F.least(F.lit(1.0), X.lexical_score(F.col("qs"), F.col("ps")) + F.when(F.col("named"), TITLE_BOOST).otherwise(0.0))
     else:
-        lex = F.greatest(*(X.set_similarity(F.col("ps")[i], F.col("qs")) for i in range(3)))
-    scored = full.withColumns({"vector_score": F.round(vec, 6), "lexical_score": F.round(lex, 6)}).drop("qv", "cv", "named", "query", "lex", "qs", "ps")
+        lex = F.greatest(*(X.set_similarity(X.trigrams(c), F.col("qt")) for c in (F.col("content"), F.col("law_title"), F.concat("law_title", F.coalesce("article_label", F.lit(""))))))
+    scored = full.withColumns({"vector_score": F.round(vec, 6), "lexical_score": F.round(lex, 6)}).drop("qv", "cv", "named", "qs", "qt", "ps")
     scored = scored.withColumn("hybrid_score", F.round(F.col("vector_score") * weight + F.col("lexical_score") * (1 - weight), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "chunk_id")
     return scored.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).withColumn("retrieval_mode", F.lit("hybrid"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 8, **options) -> DataFrame:
+def search(queries: DataFrame, index: Index, k: int = 8, **options) -> DataFrame:
     """Routed search: exact provisions where a query names one article of one law (also when there is none), else hybrid."""
-    scope = cut(article_scope(queries, chunks.select(F.col("law_title").alias("title"))))  # a row a query at most
-    cols = ["query_id", "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "hybrid_score", "retrieval_mode", "pos"]
+    docs = index.table("docs")
+    scope = cut(article_scope(queries, index.table("titles")))  # a row a query at most
+    cols = ["query_id", "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "source_url", "hybrid_score", "retrieval_mode", "pos"]
     w = Window.partitionBy("query_id").orderBy("law_title", "seq", "chunk_id")
-    exact = exact_article(scope, chunks).withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k)
+    exact = exact_article(scope, docs).withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k)
     rest = queries.join(scope.select("query_id"), "query_id", "left_anti")
-    return exact.select(*cols).unionByName(hybrid_topk(rest, chunks, k, **options).select(*cols))
+    return exact.select(*cols).unionByName(hybrid_topk(rest, index, k, **options).select(*cols))
 
 
 def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:

@@ -51,6 +51,27 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_cases").where("query is not null").groupBy("query").agg(F.min("case_id").alias("query_id")).select("query_id", "query")
 
 
+_INDEXES: dict[tuple, R.Index] = {}
+
+
+def _index(spark: SparkSession, d: str) -> R.Index:
+    """The index of a data directory's current provisions: built by the first search of a session, read by all of them.
+
+    Another index is built when the files of its tables change.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    state = []
+    for name in ("law_chunks", "law_versions", "laws"):
+        at = hadoop.Path(f"{d}/{name}.parquet")
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        whole, file = system.getContentSummary(at), system.getFileStatus(at)
+        state.append((whole.getLength(), whole.getFileCount(), file.getModificationTime()))
+    key = (spark.sparkContext.applicationId, d, *state)
+    if key not in _INDEXES:
+        _INDEXES[key] = R.build_index(_current(spark, d))
+    return _INDEXES[key]
+
+
 def _laws(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "laws").dropDuplicates(["law_id"]).withColumn("title", F.regexp_replace("title", r"(?U)^\s+|\s+$", ""))
 
@@ -184,7 +205,7 @@ def contains_theta_join(spark, d):
     n = t.agg(F.coalesce(F.min(F.length("law_title")), F.lit(3))).first()[0]
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
     runs = docs.select("doc_id", F.explode(X.grams(F.col("text"), n)).alias("run"))
-    some = runs.join(R.small(t.withColumn("run", F.substring("law_title", 1, n))), "run").select("doc_id", "law_title").distinct()
+    some = runs.join(t.withColumn("run", F.substring("law_title", 1, n)), "run").select("doc_id", "law_title").distinct()
     return some.join(docs, "doc_id").where(F.contains("text", F.col("law_title"))).select("doc_id", "law_title")
 
 
@@ -280,7 +301,7 @@ ix AS (SELECT doc, t AS term FROM it WHERE length(t) > 3 UNION ALL SELECT doc, s
 
 @query(f"WITH {_CUR}, {_index_sql('cur', 'chunk_id', ['law_title', 'article_label', 'heading', 'content'])} SELECT term, CAST(count(DISTINCT doc) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM ix GROUP BY 1")
 def postings_build(spark, d):
-    p = R.postings(_current(spark, d), "chunk_id", ["law_title", "article_label", "heading", "content"])
+    p = R.postings(_current(spark, d), "chunk_id", list(R.INDEXED))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
@@ -302,9 +323,9 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 """
 
 
-@query(f"WITH {_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql('cur', 'chunk_id', ['article_label', 'heading', 'content'])}, {_BM25} SELECT query_id, doc, rank, score FROM top WHERE rank <= 8")
+@query(f"WITH {_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql('cur', 'chunk_id', list(R.INDEXED))}, {_BM25} SELECT query_id, doc, rank, score FROM top WHERE rank <= 8")
 def bm25_topk(spark, d):
-    return R.bm25_topk(_asked(spark, d), _current(spark, d), "chunk_id", ["article_label", "heading", "content"], 8).select("query_id", "doc", "rank", "score")
+    return R.bm25_topk(_asked(spark, d), _index(spark, d), 8).select("query_id", "doc", "rank", "score")
 
 
 @query(
@@ -346,26 +367,26 @@ def hash_embedding_blake2b(spark, d):
 
 @query()
 def hybrid_topk(spark, d):
-    h = R.hybrid_topk(_asked(spark, d), _current(spark, d), 8)
+    h = R.hybrid_topk(_asked(spark, d), _index(spark, d), 8)
     return h.select("query_id", "pos", "chunk_id", "law_title", "article_label", "vector_score", "lexical_score", "hybrid_score")
 
 
 @query()
 def hybrid_trigram_topk(spark, d):
-    h = R.hybrid_topk(_asked(spark, d), _current(spark, d), 8, weight=0.72, lexical="trigram")
+    h = R.hybrid_topk(_asked(spark, d), _index(spark, d), 8, weight=0.72, lexical="trigram")
     return h.select("query_id", "pos", "chunk_id", "vector_score", "lexical_score", "hybrid_score")
 
 
 @query()
 def routed_search(spark, d):
-    return R.search(_asked(spark, d), _current(spark, d), 8).select("query_id", "pos", "chunk_id", "retrieval_mode", "hybrid_score")
+    return R.search(_asked(spark, d), _index(spark, d), 8).select("query_id", "pos", "chunk_id", "retrieval_mode", "hybrid_score")
 
 
 @query()
 def retrieval_eval(spark, d):
     q = _asked(spark, d)
     cases = table(spark, d, "eval_cases").dropDuplicates(["case_id"]).select(F.col("case_id").alias("query_id"), "expected_law", "expected_article").join(q.select("query_id"), "query_id", "left_semi")
-    return R.evaluate(R.search(q, _current(spark, d), 8), cases)
+    return R.evaluate(R.search(q, _index(spark, d), 8), cases)
 
 
 _LEX = f"""
@@ -384,9 +405,9 @@ def lexical_overlap_topk(spark, d):
     """The provisions that hold the largest share of a query's terms."""
     q = _asked(spark, d).select("query_id", F.explode(X.lexical_terms(F.col("query"))).alias("term"))
     n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    terms = R.small(q.select("term").distinct(), 200_000)
+    terms = q.select("term").distinct()
     t = _current(spark, d).select("chunk_id", F.explode(X.lexical_terms(F.col("content"))).alias("term")).join(terms, "term", "left_semi")
-    s = t.join(R.small(q, 400_000), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("c")).join(R.small(n), "query_id").withColumn("score", F.round(F.col("c") / F.col("n"), 6))
+    s = t.join(q, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("c")).join(n, "query_id").withColumn("score", F.round(F.col("c") / F.col("n"), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return s.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 8").select("query_id", "chunk_id", "rank", "score")
 
@@ -495,12 +516,13 @@ def reprocess_dry_run(spark, d):
 
 def _hits(spark: SparkSession, d: str, k: int = 24) -> DataFrame:
     """BM25 hits of all queries with what selection needs."""
-    c = _current(spark, d)
-    top = R.bm25_topk(_asked(spark, d), c, "chunk_id", ["article_label", "heading", "content"], k)
-    return top.join(c, top.doc == c.chunk_id).select("query_id", F.col("rank").alias("pos"), "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "source_url", F.col("score").alias("hybrid_score"))
+    index = _index(spark, d)
+    top = R.bm25_topk(_asked(spark, d), index, k)
+    c = index.table("docs").drop("cv", "ps")
+    return top.join(c.hint("merge"), top.doc == c.chunk_id).select("query_id", F.col("rank").alias("pos"), "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "source_url", F.col("score").alias("hybrid_score"))
 
 
-_HITS = f"""{_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql("cur", "chunk_id", ["article_label", "heading", "content"])}, {_BM25},
+_HITS = f"""{_CUR}, {_Q}, qx AS (SELECT * FROM q), {_index_sql("cur", "chunk_id", list(R.INDEXED))}, {_BM25},
 hits AS (SELECT query_id, rank AS pos, chunk_id, law_id, law_title, version_no, article_label, heading, content, source_url, score AS hybrid_score FROM top JOIN cur ON doc = chunk_id WHERE rank <= 24)"""
 _KEYS = f"law_id, CASE WHEN {_sq('coalesce(article_label, chr(32))')} = '' THEN CAST(chunk_id AS VARCHAR) ELSE 'L' || {_sq('article_label')} END, {_sq('coalesce(heading, chr(32))')}, {_sq('content')}"
 _DEDUPED = f"uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEYS} ORDER BY pos, chunk_id) r FROM hits) WHERE r = 1)"

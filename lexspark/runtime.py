@@ -59,3 +59,14 @@ def tasks(spark: SparkSession) -> int:
     Adaptive execution merges small partitions; a named number is kept. Worth it before work that is heavy by row.
     """
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def read_rows(path: str):
+    """A parquet table of the shared folder inside a task, as an Arrow table."""
+    import re
+
+    from pyarrow import dataset, fs
+
+    uri = re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", path))
+    system, at = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    return dataset.dataset(at, filesystem=system, format="parquet").to_table()

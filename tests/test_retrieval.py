@@ -20,25 +20,30 @@ def chunks(spark):
     return R.current_chunks(ch, v, laws).cache()
 
 
+@pytest.fixture(scope="module")
+def index(chunks):
+    return R.build_index(chunks)
+
+
 def ask(spark, *q):
     return spark.createDataFrame([(i, x) for i, x in enumerate(q)], "query_id long, query string")
 
 
-def test_hybrid(spark, chunks):
+def test_hybrid(spark, index):
     q = ask(spark, "管理權人消防安全設備", "請說明消防法規定義的管理權人", "請說明消防法規的主管機關?")
-    h = {(r.query_id, r.pos): r for r in R.search(q, chunks, 3).collect()}
+    h = {(r.query_id, r.pos): r for r in R.search(q, index, 3).collect()}
     assert h[0, 1].article_label == "第13條" and h[1, 1].article_label == "第2條" and h[2, 1].article_label == "第3條"
-    full = {(r.query_id, r.pos): r for r in R.hybrid_topk(q, chunks, 3).collect()}
+    full = {(r.query_id, r.pos): r for r in R.hybrid_topk(q, index, 3).collect()}
     assert full[1, 1].lexical_score >= 0.85 and full[2, 1].lexical_score == 1.0 and full[0, 1].vector_score > 0
 
 
-def test_trigram_backend(spark, chunks):
-    r = R.hybrid_topk(ask(spark, "管理權人應依規定設置消防安全設備"), chunks, 1, weight=0.72, lexical="trigram").first()
+def test_trigram_backend(spark, index):
+    r = R.hybrid_topk(ask(spark, "管理權人應依規定設置消防安全設備"), index, 1, weight=0.72, lexical="trigram").first()
     assert r.article_label == "第13條" and 0 < r.lexical_score <= 1
 
 
-def test_exact_and_missing_article(spark, chunks):
-    r = R.search(ask(spark, "消防法第四十二條之一", "消防法第99條"), chunks, 8).collect()
+def test_exact_and_missing_article(spark, index):
+    r = R.search(ask(spark, "消防法第四十二條之一", "消防法第99條"), index, 8).collect()
     assert [(x.query_id, x.article_label, x.retrieval_mode, x.hybrid_score) for x in r] == [(0, "第42-1條", "exact_article", 1.0)]
 
 
@@ -56,10 +61,38 @@ def test_titles(spark):
 
 def test_bm25_edges(spark):
     d = spark.createDataFrame([(1, "防火管理", "x"), (2, "防火管理人", "x"), (3, None, "x"), (4, "", "x")], "id long, t string, term string")
-    r = R.bm25_topk(ask(spark, "防火管理", "", "無關"), d, "id", ["t"], 5).orderBy("rank").collect()
+    index = R.write_postings(d, "id", ["t"], buckets=3)
+    r = R.bm25_topk(ask(spark, "防火管理", "", "無關"), index, 5).orderBy("rank").collect()
     assert [(x.query_id, x.doc) for x in r] == [(0, 1), (0, 2)]
-    assert R.bm25_topk(ask(spark, "甲"), d.limit(0), "id", ["t"], 5).count() == 0
+    assert R.bm25_topk(ask(spark, "甲"), R.write_postings(d.limit(0), "id", ["t"]), 5).count() == 0
+    assert R.bm25_topk(ask(spark), index, 5).count() == 0
+
+
+def test_many_terms_are_shuffled_alike(spark, index, monkeypatch):
+    q = ask(spark, "管理權人消防安全設備", "罰鍰")
+    few = sorted(map(tuple, R.bm25_topk(q, index, 5).collect()))
+    monkeypatch.setattr(R, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, R.bm25_topk(q, index, 5).collect())) == few and len(few) == 10
+
+
+def test_queries_without_candidates_meet_all_provisions(spark, index):
+    r = R.hybrid_topk(ask(spark, "？", "ｑｑ定義"), index, 3).orderBy("query_id", "pos").collect()
+    assert [x.query_id for x in r] == [0, 0, 0, 1, 1, 1] and [x.chunk_id for x in r[:3]] == [1, 2, 3]
+    assert {x.article_label for x in r if x.query_id == 1 and x.lexical_score == 0.55} == {"第2條", "第3條"}
+
+
+def test_embedders(spark, chunks):
+    calls = []
+
+    def client(texts):
+        calls.append(len(texts))
+        return [[1.0, 0.0] if "罰" in t else [0.0, 1.0] for t in texts]
 
+    embed = R.remote_embedding(client, 2)
+    r = R.hybrid_topk(ask(spark, "罰鍰"), R.build_index(chunks, embed=embed), 2, embed=embed).collect()
+    assert all(x.vector_score == 1.0 for x in r)
+    with pytest.raises(Exception, match="wanted of 3 numbers"):
+        chunks.select(R.remote_embedding(client, 3)(F.col("content"))).collect()
 
 def test_evaluate(spark):
     hits = spark.createDataFrame([(1, "消防法施行細則", "第 3 條"), (2, "甲", None)], "query_id long, law_title string, article_label string")
