@@ -356,16 +356,17 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CAND
     docs = index.table("docs")
     by_words = lexical != "trigram"
     q = queries.select("query_id", X.normalize_query(F.col("query")).alias("query")).withColumn("lex", X.expand_query(F.col("query")))
-    asked = q.withColumns({"qv": (embed or hash_embedding)(F.col("query")), "qs": X.query_side(F.col("lex"))})
-    titles = matched_titles(q, index.table("titles"))
-    wanted = _wanted(q.select("query_id", F.col("lex").alias("query")), index)
-    top = bm25_topk(q.drop("query"), index, candidates, wanted).select("query_id", F.col("doc").alias("chunk_id"))
+    # What the queries alone give is computed once: a row a query, read by every step below.
+    asked = cut(q.withColumns({"qv": (embed or hash_embedding)(F.col("query")), "qs": X.query_side(F.col("lex")), "qt": X.trigrams(F.col("lex"))}))
+    titles = matched_titles(asked, index.table("titles"))
+    wanted = _wanted(asked.select("query_id", F.col("lex").alias("query")), index)
+    top = bm25_topk(asked, index, candidates, wanted).select("query_id", F.col("doc").alias("chunk_id"))
     by_title = docs.select("chunk_id", "law_title").join(titles, docs.law_title == titles.title).select("query_id", "chunk_id")
     pairs = top.withColumn("named", F.lit(False)).unionByName(by_title.withColumn("named", F.lit(True)))
     if (rest := _without_candidates(asked, index, wanted, titles, k, weight)) is not None:
         pairs = pairs.unionByName(rest.withColumn("named", F.lit(False)))
     pairs = pairs.groupBy("query_id", "chunk_id").agg(F.max("named").alias("named"))
-    sides = asked.select("query_id", _sparse(F.col("qv")).alias("qv"), "qs", X.trigrams(F.col("lex")).alias("qt"))
+    sides = asked.select("query_id", _sparse(F.col("qv")).alias("qv"), "qs", "qt")
     full = pairs.join(docs.hint("merge"), "chunk_id").join(sides, "query_id")  # wide rows: never a broadcast
     if only is not None:
         full = full.join(only.select("query_id", "law_title"), ["query_id", "law_title"], "left_semi")

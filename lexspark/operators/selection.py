@@ -156,8 +156,8 @@ def evidence_context(hits: DataFrame, limit: int = 5_000) -> DataFrame:
 
 
 def needs_web(hits: DataFrame, queries: DataFrame, gate: float = 0.35) -> DataFrame:
-    """``query_id, needs_web``: no hits, or none by structure and the best score under the gate."""
-    per = hits.groupBy("query_id").agg(F.max("hybrid_score").alias("best"), F.bool_and(F.col("retrieval_mode").isin("exact_article", "structural_section")).alias("structural"))
+    """``query_id, needs_web``: no hits, or the best score under the gate unless all are a whole section."""
+    per = hits.groupBy("query_id").agg(F.max("hybrid_score").alias("best"), F.bool_and(F.col("retrieval_mode") == "structural_section").alias("structural"))
     return queries.select("query_id").join(per, "query_id", "left").select("query_id", F.when(F.col("best").isNull(), True).when(F.col("structural"), False).otherwise(F.col("best") < gate).alias("needs_web"))
 
 

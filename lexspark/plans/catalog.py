@@ -10,6 +10,7 @@ from lexspark.functions import answers as A
 from lexspark.functions import text as X
 from lexspark.functions import urls as U
 from lexspark.operators import chunking as C
+from lexspark.operators import evidence as E
 from lexspark.operators import history
 from lexspark.operators import retrieval as R
 from lexspark.operators import selection as S
@@ -570,17 +571,39 @@ def web_gate(spark, d):
     return S.needs_web(h, _asked(spark, d), 30.0)
 
 
+@query()
+def ranked_hits(spark, d):
+    """The evidence of all queries by the way each takes: exact articles, places for facets, or the best hits."""
+    return E.ranked_hits(_asked(spark, d), _index(spark, d)).select("query_id", "place", "chunk_id", "law_id", "retrieval_mode")
+
+
 @query()
 def facet_coverage(spark, d):
-    """Broad evidence for all queries, with places for the laws and objects they ask about."""
-    q, c = _asked(spark, d), _current(spark, d)
-    hits = _hits(spark, d)
-    parts = q.select("query_id", F.posexplode(X.facets(F.col("query"))).alias("facet_no", "facet")).where("facet_no > 0")
-    ids = parts.select(F.xxhash64("query_id", "facet_no").alias("fid"), "query_id", "facet_no", "facet")
-    top = R.bm25_topk(ids.select(F.col("fid").alias("query_id"), F.col("facet").alias("query")), c, "chunk_id", ["article_label", "heading", "content"], 8)
-    found = top.withColumnRenamed("query_id", "fid").join(ids, "fid").join(c, F.col("doc") == c.chunk_id).select("query_id", F.col("rank").alias("pos"), "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "source_url", F.col("score").alias("hybrid_score"), "facet", "facet_no")
-    titles = R.matched_titles(q, c.select(F.col("law_title").alias("title")))
-    return S.with_coverage(hits, found, q, titles, 8).select("query_id", "place", "chunk_id", "law_id")
+    """Evidence with places for the laws and objects asked about, for all queries as if they asked broadly."""
+    q = _asked(spark, d).withColumn("query", F.concat("query", F.lit("相關規定")))
+    return E.ranked_hits(q, _index(spark, d)).select("query_id", "place", "chunk_id", "law_id")
+
+
+@query(
+    f"""WITH {_CUR}, q AS (SELECT law_id AS query_id, '請列出' || law_title || '第二章的所有規定' AS query FROM (SELECT law_id, law_title, row_number() OVER (PARTITION BY law_title ORDER BY law_id) r FROM l) WHERE r = 1), {_TITLES},
+o AS (SELECT query_id, min(title) AS title FROM best GROUP BY 1 HAVING count(*) = 1),
+k AS (SELECT *, {_sq('content')} AS x, {_sq('coalesce(article_label, chr(32))')} AS y FROM cur),
+h AS (SELECT query_id, chunk_id, seq, heading, law_title FROM k JOIN o ON law_title = title WHERE contains(heading, '第二章') AND NOT coalesce((CASE WHEN y <> '' AND starts_with(x, y) THEN substr(x, length(y) + 1) ELSE x END) IN ('刪除', '（刪除）', '(刪除)'), FALSE))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY seq, chunk_id) AS place, chunk_id, count(*) OVER (PARTITION BY query_id) AS total_matches, TRUE AS complete, law_title AS scope_law_title, first_value(heading) OVER (PARTITION BY query_id ORDER BY seq, chunk_id) AS scope_heading FROM h"""
+)
+def exhaustive_evidence(spark, d):
+    """All provisions of every law's second chapter, with their coverage."""
+    one = _laws(spark, d).groupBy("title").agg(F.min("law_id").alias("query_id"))
+    asked = one.select("query_id", F.concat(F.lit("請列出"), "title", F.lit("第二章的所有規定")).alias("query"), F.lit("第二章").alias("heading_term"))
+    s = E.sections(asked, _index(spark, d))
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    return s.select("query_id", "place", "chunk_id", total.alias("total_matches"), F.lit(True).alias("complete"), "scope_law_title", "scope_heading")
+
+
+@query()
+def answer_evidence(spark, d):
+    """The evidence of all queries with what it covers."""
+    return E.answer_evidence(_asked(spark, d), _index(spark, d)).select("query_id", "place", "chunk_id", "mode", "total_matches", "complete")
 
 
 def _num(x: str) -> str:

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lexspark.operators import evidence as E
 from lexspark.operators import retrieval as R
 from lexspark.operators import selection as S
 from lexspark.functions import text as X
@@ -156,7 +157,7 @@ def test_context_and_gate(spark):
     c = S.evidence_context(h).first().context
     assert "[1]\n法規：法1 版本：1 來源：u1" in c and "來源：同 [1]" in c
     q = ask(spark, "a", "b", "c").withColumn("query_id", F.col("query_id") + 1)
-    modes = spark.createDataFrame([(1, 0.2, "exact_article"), (2, 0.2, "hybrid")], "query_id long, hybrid_score double, retrieval_mode string")
+    modes = spark.createDataFrame([(1, 0.0, "structural_section"), (2, 0.2, "exact_article")], "query_id long, hybrid_score double, retrieval_mode string")
     assert {r.query_id: r.needs_web for r in S.needs_web(modes, q).collect()} == {1: False, 2: True, 3: True}
 
 
@@ -168,3 +169,51 @@ def test_coverage(spark):
     none = h.limit(0).withColumn("facet", F.lit("x")).withColumn("facet_no", F.lit(1))
     r = [x.law_title for x in S.with_coverage(h, none, q, t, 8).orderBy("place").collect()]
     assert r[0] == "乙規則" and r[1] == "丙法" and len(r) == 8
+
+
+def test_ranked_hits_and_coverage(spark, index):
+    q = ask(spark, "消防法第13條", "管理權人是否包含主管機關、預防火災？", "消防安全設備", "消防法的所有罰則", "管理權人與主管機關的差異")
+    r = E.answer_evidence(q, index, 3).collect()
+    by = {}
+    for x in sorted(r, key=lambda x: (x.query_id, x.place)):
+        by.setdefault(x.query_id, []).append(x)
+    assert [(x.article_label, x.mode, x.complete) for x in by[0]] == [("第13條", "exact_article", None)]
+    shown = "".join(x.content for x in by[1])
+    assert len(by[1]) == 3 and "主管機關" in shown and "預防火災" in shown and by[1][0].mode == "hybrid"
+    assert len(by[2]) == 3 and [x.article_label for x in by[3]] == PENALTY
+    assert all((x.complete, x.total_matches, x.scope_law_title, x.scope_heading) == (True, len(PENALTY), "消防法", "第六章 罰則") for x in by[3])
+
+
+def test_reranker_and_its_failures(spark, index):
+    q = ask(spark, "管理權人與主管機關的差異")
+    base = [x.chunk_id for x in E.ranked_hits(q, index, 3).orderBy("place").collect()]
+    said = []
+
+    def complete(prompt):
+        said.append(prompt)
+        ids = [int(line[1 : line.index("]")]) for line in prompt.split("\n") if line.startswith("[")]
+        return f'好的：{{"ranked_chunk_ids": [{ids[2]}, 99999, {ids[0]}]}}'
+
+    got = [x.chunk_id for x in E.ranked_hits(q, index, 3, complete=complete).orderBy("place").collect()]
+    assert got == [base[2], base[0], base[1]]
+
+    def broken(prompt):
+        raise TimeoutError
+
+    assert [x.chunk_id for x in E.ranked_hits(q, index, 3, complete=broken).orderBy("place").collect()] == base
+    assert [x.chunk_id for x in E.ranked_hits(q, index, 3, complete=lambda p: "不知道").orderBy("place").collect()] == base
+
+
+def test_web_evidence(spark):
+    q = spark.createDataFrame([(1, "請查詢滅焰毯認可基準的中央主管機關公告"), (2, "最新消防法"), (3, "民國100年的公告，內政部"), (4, "設備是否包含滅焰毯？")], "query_id long, query string")
+    first = spark.createDataFrame([(1, 1, "預告「滅焰毯認可基準修正」", "https://a.gov.example/1", "舊"), (1, 2, "外", "https://evil.example/1", "x"), (2, 1, "甲", "https://a.gov.example/2", "修正日期：民國110年13月1日 修正日期：民國110年2月1日"), (2, 2, "乙", "https://a.gov.example/3", "公告日期 2023/5/6"), (4, 1, "無關", "https://a.gov.example/4", "x"), (4, 2, "滅焰毯", "https://a.gov.example/5", "y")], "query_id long, pos int, title string, url string, content string")
+    f = {r.query_id: r.followup for r in E.followups(q, first, ["gov.example"]).collect()}
+    assert f == {1: "滅焰毯認可基準修正 內政部 修正 最新 site:gov.example", 2: "最新消防法 現行 修正日期"}
+    focused = spark.createDataFrame([(2, 1, "丙", "https://a.gov.example/3", "公告日期 2023/5/6"), (2, 2, "丁", "http://a.gov.example/9", "x")], first.schema)
+    fetched = spark.createDataFrame([("https://a.gov.example/1", " ", "發布日期：113年1月2日 全文")], "url string, title string, content string")
+    r = {(x.query_id, x.place): x for x in E.web_results(q, first, focused, fetched, ["gov.example"]).collect()}
+    assert {k: v.url[-1] for k, v in r.items()} == {(1, 1): "1", (2, 1): "3", (2, 2): "2", (4, 1): "5"}
+    assert (r[1, 1].source_date, r[1, 1].source_date_label, r[2, 1].title, r[2, 2].source_date) == ("2024-01-02", "發布日期", "丙", "2021-02-01")
+    local = spark.createDataFrame([(2, 1), (2, 2)], "query_id long, place long")
+    c = {x.query_id: x.context for x in E.web_context(E.web_results(q, first, focused, fetched, ["gov.example"]), local).collect()}
+    assert c[2].startswith("[3] 官方網頁補充資料\n標題：丙") and "[4]" in c[2] and "來源日期（公告日期）：2023-05-06" in c[2] and c[1].startswith("[1]")
