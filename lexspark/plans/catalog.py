@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lexspark.functions import answers as A
 from lexspark.functions import text as X
 from lexspark.functions import urls as U
+from lexspark.operators import answering as G
 from lexspark.operators import chunking as C
 from lexspark.operators import evidence as E
 from lexspark.operators import history
@@ -663,6 +664,20 @@ def answer_checks(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", A.admits_lack(F.col("text")).alias("lacking"), A.is_incomplete(F.col("text"), F.lit(True), F.lit(None).cast("string")).alias("broken_off"))
 
 
+_TAIL = f"regexp_replace(regexp_replace(text, '[{_WS}]+$', ''), '[*_` ]+$', '')"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, text, {_TAIL} AS x FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\\[([0-9]{{1,9}})\\]', 1), lambda v: CAST(v AS INTEGER))) AS n FROM t),
+b AS (SELECT doc_id, x = '' OR (NOT regexp_matches(x, '(?:[。！？.!?\\]）)】」』]|\\[[0-9]+\\])$') AND length(regexp_replace(regexp_extract(x, '([^\\n]*)$', 1), '^[ \\-*\\t]+|[ \\-*\\t]+$', '', 'g')) <= 8) AS broken FROM t)
+SELECT doc_id, CASE WHEN len(n) = 0 OR len(list_filter(n, lambda v: v NOT BETWEEN 1 AND 8)) > 0 THEN 'llm_error' WHEN broken THEN 'incomplete' ELSE 'ok' END AS status FROM c JOIN b USING (doc_id)"""
+)
+def answer_status(spark, d):
+    """All documents as a model's answers from eight pieces of evidence."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", G.status(F.col("text"), F.lit(True), F.lit(None).cast("string"), F.lit(8)).alias("status"))
+
+
 _DATE = r"(?:發布日期|公布日期|修正日期|公告日期|發文日期)[：:]?\s*(?:中華民國|民國)?\s*(\d{2,4})\s*[年./-]\s*(\d{1,2})\s*[月./-]\s*(\d{1,2})"
 
 
