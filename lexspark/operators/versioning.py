@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexspark.operators import chunking as C
+
 PARSER_REVISION = 3
 
 
@@ -42,16 +46,23 @@ def upsert_status(incoming: DataFrame, laws: DataFrame, versions: DataFrame, rev
     return j.select("source_key", "law_id", status.alias("status"), F.when(~same, F.coalesce("version_no", F.lit(0)) + 1).otherwise(F.col("version_no")).cast("long").alias("version_no"))
 
 
-def apply_upsert(incoming: DataFrame, laws: DataFrame, versions: DataFrame, revision: int = PARSER_REVISION) -> tuple[DataFrame, DataFrame]:
-    """(laws, versions) after a batch; history is only added to. New ids come from hashes of the natural keys."""
+def upsert_rows(incoming: DataFrame, laws: DataFrame, versions: DataFrame, revision: int = PARSER_REVISION) -> tuple[DataFrame, DataFrame]:
+    """(laws, versions) that a batch adds: new laws and those with a new title or address, and a version for every text that is new.
+
+    New ids come from hashes of the natural keys. Of 63 bits, two keys of a billion share one with a chance of 0.05: a new law whose
+    id another key has already is an error, not a merge.
+    """
     st = upsert_status(incoming, laws, versions, revision)
     new_id = lambda *c: F.abs(F.xxhash64(*c))
     j = incoming.join(st, "source_key")
     known = laws.dropDuplicates(["source_key"])
     fresh = incoming.select("source_key", F.col("title").alias("new_title"), F.col("source_url").alias("new_url"))
-    kept = known.join(fresh, "source_key", "left").withColumns({"title": F.coalesce("new_title", "title"), "source_url": F.coalesce("new_url", "source_url")}).select(*laws.columns)
+    kept = known.join(fresh, "source_key").where(~(F.col("title").eqNullSafe(F.coalesce("new_title", "title")) & F.col("source_url").eqNullSafe(F.coalesce("new_url", "source_url"))))
+    kept = kept.withColumns({"title": F.coalesce("new_title", "title"), "source_url": F.coalesce("new_url", "source_url")}).select(*laws.columns)
     added = j.where("law_id is null").select(new_id(F.col("source_key")).alias("law_id"), "source_key", "title", "source_url", F.col("fetched_at").alias("created_at"))
-    out_laws = kept.unionByName(added, allowMissingColumns=True)
+    taken = known.select(F.col("law_id").alias("old_id"), F.col("source_key").alias("old_key"))
+    clash = (F.col("old_id") == F.col("law_id")) & (F.col("old_key") != F.col("source_key"))
+    added = added.join(taken, clash, "left").withColumn("law_id", F.when(F.col("old_id").isNotNull(), F.raise_error(F.concat(F.lit("the id of "), "source_key", F.lit(" is taken")))).otherwise(F.col("law_id"))).drop("old_id", "old_key")
     rows = j.where("status = 'inserted'").select(
         new_id(F.lit("version"), F.col("source_key"), F.col("version_no"), F.col("content_hash")).alias("version_id"),
         F.coalesce("law_id", new_id(F.col("source_key"))).alias("law_id"),
@@ -62,7 +73,49 @@ def apply_upsert(incoming: DataFrame, laws: DataFrame, versions: DataFrame, revi
         F.lit(True).alias("is_current"),
         "fetched_at",
     )
-    return out_laws, derive_current(versions.unionByName(rows))
+    return kept.unionByName(added, allowMissingColumns=True), rows
+
+
+def apply_upsert(incoming: DataFrame, laws: DataFrame, versions: DataFrame, revision: int = PARSER_REVISION) -> tuple[DataFrame, DataFrame]:
+    """(laws, versions) after a batch; history is only added to."""
+    changed, rows = upsert_rows(incoming, laws, versions, revision)
+    kept = laws.dropDuplicates(["source_key"]).join(changed.select("source_key"), "source_key", "left_anti").select(*laws.columns)
+    return kept.unionByName(changed, allowMissingColumns=True), derive_current(versions.unionByName(rows))
+
+
+def version_chunks(versions: DataFrame, embed: Callable[[Column], Column] | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """``chunk_id, version_id, seq, article_label, heading, content[, embedding]``: the chunks of new versions' texts, attachments too.
+
+    ``embed`` makes the vectors, from the law's title (``titles``: ``law_id, title``), heading, label and content.
+    """
+    c = C.segment_stored(versions, "version_id", "raw_text")
+    c = c.select(F.abs(F.xxhash64(F.lit("chunk"), "doc", "seq")).alias("chunk_id"), F.col("doc").alias("version_id"), "seq", "article_label", "heading", "content")
+    if embed is None:
+        return c
+    title = versions.select("version_id", "law_id").join(titles.select("law_id", "title").dropDuplicates(["law_id"]), "law_id", "left").select("version_id", "title")
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
+    return c.join(title, "version_id", "left").withColumn("embedding", embed(text)).drop("title")
+
+
+def unchanged_early(incoming: DataFrame, laws: DataFrame, versions: DataFrame, revision: int = PARSER_REVISION) -> DataFrame:
+    """``source_key, status, version_no`` of the incoming bodies (``source_key, body``) that stand unchanged in the current version.
+
+    The stored text is the body, or the body and its attachments; its metadata tells of attachments. These need no attachment to be
+    fetched: ``unchanged``, or ``reprocess_required`` where an older parser stored them. Others have no row.
+    """
+    cur = derive_current(versions).where("is_current").join(laws.select("law_id", "source_key").dropDuplicates(["source_key"]), "law_id")
+    j = incoming.select("source_key", "body").join(cur.select("source_key", "raw_text", "metadata_json", "version_no"), "source_key")
+    same = (F.col("raw_text") == F.col("body")) | F.startswith("raw_text", F.concat("body", F.lit("\n\n附件：")))
+    j = j.where(same & F.get_json_object("metadata_json", "$.attachments").isNotNull())
+    old = F.coalesce(stored_revision(F.col("metadata_json")), F.lit(0)) < revision
+    return j.select("source_key", F.when(old, "reprocess_required").otherwise("unchanged").alias("status"), F.col("version_no").cast("long").alias("version_no"))
+
+
+def version_list(versions: DataFrame, law_ids: DataFrame | None = None) -> DataFrame:
+    """Versions of laws (``law_id``; of all without), the newest first, without their texts."""
+    v = derive_current(versions)
+    v = v if law_ids is None else v.join(law_ids.select("law_id").distinct(), "law_id", "left_semi")
+    return v.select("law_id", "version_id", "version_no", "content_hash", "is_current", "fetched_at").orderBy("law_id", F.desc("version_no"), F.desc("version_id"))
 
 
 def reprocess(versions: DataFrame, laws: DataFrame, revision: int = PARSER_REVISION, law_ids: list[int] | None = None, apart: str = "消防署函釋", apply: bool = False) -> DataFrame:
@@ -121,3 +174,41 @@ def append_exchange(messages: DataFrame, exchanges: DataFrame) -> DataFrame:
 def preference(value: Column, default: int = 8, low: int = 1, high: int = 20) -> Column:
     """A stored preference, or the default where it is null or out of range."""
     return F.when(value.between(low, high), value).otherwise(F.lit(default))
+
+
+def save_preference(stored: DataFrame, key: str, value: int, low: int = 1, high: int = 20) -> DataFrame:
+    """Preferences (``key, int_value``) with one set; a value that is no whole number in range is an error."""
+    if isinstance(value, bool) or not isinstance(value, int):
+        raise TypeError("a preference is a whole number")
+    if not low <= value <= high:
+        raise ValueError(f"a preference is within {low} and {high}")
+    new = stored.sparkSession.createDataFrame([(key, value)], "key string, int_value int")
+    return stored.where(F.col("key") != key).select("key", "int_value").unionByName(new)
+
+
+def rename_conversation(conversations: DataFrame, conversation_id: int, title: str, limit: int = 80) -> DataFrame:
+    """Conversations with one title set (single blanks, cut to ``limit``); a blank title is an error."""
+    if not (tidy := " ".join(title.split())[:limit]):
+        raise ValueError("a title isn't blank")
+    return conversations.withColumn("title", F.when(F.col("conversation_id") == conversation_id, tidy).otherwise(F.col("title")))
+
+
+def delete_conversations(ids: DataFrame, conversations: DataFrame, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(conversations, messages) without those of the ids (``conversation_id``)."""
+    return conversations.join(ids, "conversation_id", "left_anti"), messages.join(ids, "conversation_id", "left_anti")
+
+
+#: The stored tables and their columns.
+SCHEMAS = {
+    "laws": "law_id long, source_key string, title string, category string, source_url string, created_at timestamp_ntz, updated_at timestamp_ntz",
+    "law_versions": "version_id long, law_id long, version_no int, content_hash string, raw_text string, metadata_json string, is_current boolean, fetched_at timestamp_ntz",
+    "law_chunks": "chunk_id long, version_id long, seq int, article_label string, heading string, content string, embedding array<float>",
+    "conversations": "conversation_id long, title string, created_at timestamp_ntz",
+    "messages": "message_id long, conversation_id long, role string, content string, response_json string, created_at timestamp_ntz",
+    "preferences": "key string, int_value int",
+}
+
+
+def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """All stored tables without rows: the state to begin with."""
+    return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,25 +22,66 @@ def eval_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved_pages(spark: SparkSession, path: str, cap: int = 25_000_000) -> DataFrame:
-    """``url, html, size``: saved HTML files up to a size."""
-    f = spark.read.format("binaryFile").load(path).where(F.col("length") <= cap)
-    return f.select(F.col("path").alias("url"), F.decode("content", "UTF-8").alias("html"), F.col("length").alias("size"))
+    """``url, html, size, reason``: saved HTML files; a file beyond ``cap`` bytes isn't read and says so in ``reason``."""
+    f = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= cap
+    return f.select(F.col("path").alias("url"), F.when(fits, F.decode("content", "UTF-8")).alias("html"), F.col("length").alias("size"), F.when(~fits, "too large").alias("reason"))
 
 
-def saved_pdfs(spark: SparkSession, path: str, cap: int = 25_000_000, pages: int = 200) -> DataFrame:
-    """``path, text``: the text of saved PDF files, where the optional library pypdf is installed."""
-    f = spark.read.format("binaryFile").load(path).where((F.col("length") <= cap) & F.startswith("content", F.lit(b"%PDF-")))
+def pdf_pages(content: bytes, cap: int = 200) -> tuple[list[str] | None, str | None]:
+    """(the pages' texts, why there are none): of a PDF with at most ``cap`` pages, by the optional library pypdf."""
+    import io
 
-    def run(batches):
-        import io
+    from pypdf import PdfReader
+
+    if not content.startswith(b"%PDF-"):
+        return None, "no PDF"
+    try:
+        reader = PdfReader(io.BytesIO(content))
+        if len(reader.pages) > cap:
+            return None, "too many pages"
+        return [p.extract_text() or "" for p in reader.pages], None
+    except Exception as e:  # noqa: BLE001 - a broken file is a row with a reason
+        return None, f"unreadable: {type(e).__name__}"
+
+
+def joined_pages(pages: list[str]) -> str:
+    """Pages as one text, with at most one empty line in a row."""
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(pages)).strip()
 
-        from pypdf import PdfReader
 
+def saved_pdfs(spark: SparkSession, path: str, cap: int = 25_000_000, pages: int = 200, least: int = 20, read: Callable[[bytes, int], tuple[list[str] | None, str | None]] = pdf_pages) -> DataFrame:
+    """``path, size, text, pages, reason``: the texts of saved PDF files; every file has a row, those without a text a reason."""
+    f = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.when(F.col("length") <= cap, F.col("content")).alias("content"))
+
+    def run(batches):
         for pdf in batches:
-            pdf["text"] = [None if len(r.pages) > pages else "\n".join(p.extract_text() or "" for p in r.pages) for r in (PdfReader(io.BytesIO(c)) for c in pdf["content"])]
-            yield pdf[["path", "text"]]
+            rows = []
+            for p, n, c in zip(pdf["path"], pdf["size"], pdf["content"]):
+                got, why = (None, "too large") if c is None else read(bytes(c), pages)
+                text = joined_pages(got) if got else None
+                if got is not None and len(text or "") < least:
+                    text, why = None, "no text to be found in it"
+                rows.append((p, n, text, None if got is None else len(got), why))
+            yield pd.DataFrame(rows, columns=["path", "size", "text", "pages", "reason"]).astype({"pages": "Int32"})
+
+    return f.mapInPandas(run, "path string, size long, text string, pages int, reason string")
 
-    return f.select("path", "content").mapInPandas(run, "path string, text string")
+
+class TooLarge(Exception):
+    """A download beyond its cap."""
+
+
+def capped(blocks: Iterable[bytes], cap: int = 25_000_000, declared: int | None = None) -> bytes:
+    """A download's bytes, given up as soon as it is declared or seen to be larger than ``cap``."""
+    if declared is not None and declared > cap:
+        raise TooLarge(f"{declared} bytes")
+    out = bytearray()
+    for b in blocks:
+        out += b
+        if len(out) > cap:
+            raise TooLarge(f"more than {cap} bytes")
+    return bytes(out)
 
 
 @dataclass(frozen=True)
@@ -79,21 +123,74 @@ def prefer(pages: DataFrame, order: tuple[str, ...] = ("print", "detail")) -> Da
     return good.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def _states(spark: SparkSession, root: str) -> list[tuple[int, str, bool, list[str]]]:
+    """(number, folder, whether it is whole, its tables) of all committed states, in order; a state without its content yet doesn't count."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/_states")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    out = []
+    for f in fs.listStatus(at):
+        stream = fs.open(f.getPath())
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if text.endswith("\n"):
+            kind, names, stamp = text.strip().split(" ", 2)
+            out.append((int(f.getPath().getName()), stamp, kind == "whole", names.split(",")))
+    return sorted(out)
+
+
+def _commit(spark: SparkSession, root: str, stamp: str, whole: bool, names: Iterable[str]) -> int:
+    """Makes a written folder the newest state: a numbered file that only one writer can make. A second writer of a number fails."""
+    jvm = spark.sparkContext._jvm
+    n = max((s[0] for s in _states(spark, root)), default=0) + 1
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/_states/{n:012d}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(at, False)
+    try:
+        out.write(f"{'whole' if whole else 'more'} {','.join(names)} {stamp}\n".encode())
+    finally:
+        out.close()
+    return n
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str, stamp: str) -> str:
-    """All tables of one state under ``root/stamp``; the pointer file is swapped last, so readers see all of it or none."""
+    """All tables of one state under ``root/stamp``; the state counts from the moment its number is written, so readers see all of it or none.
+
+    No earlier state is touched: a crash at any point leaves the one before it current.
+    """
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{stamp}/{name}")
-    spark.createDataFrame([(stamp,)], "stamp string").coalesce(1).write.mode("overwrite").text(f"{root}/_next")
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path(f"{root}/_current"), True)
-    fs.rename(path(f"{root}/_next"), path(f"{root}/_current"))
+        df.write.parquet(f"{root}/{stamp}/{name}")
+    _commit(spark, root, stamp, True, tables)
+    return f"{root}/{stamp}"
+
+
+def append_snapshot(tables: dict[str, DataFrame], root: str, stamp: str) -> str:
+    """Rows that are added to the tables of the current state: only these are written."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{stamp}/{name}")
+    _commit(spark, root, stamp, False, tables)
     return f"{root}/{stamp}"
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table of the current state."""
-    stamp = spark.read.text(f"{root}/_current").first()[0]
-    return spark.read.parquet(f"{root}/{stamp}/{name}")
+    """A table of the current state, with ``state``: the last whole state and what was added since, by number."""
+    states = _states(spark, root)
+    since = max((i for i, s in enumerate(states) if s[2]), default=None)
+    if since is None:
+        raise FileNotFoundError(f"no state under {root}")
+    parts = [spark.read.parquet(f"{root}/{stamp}/{name}").withColumn("state", F.lit(n)) for n, stamp, _, names in states[since:] if name in names]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_laws(spark: SparkSession, root: str) -> DataFrame:
+    """The laws of the current state: of several rows of a key the last added."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("source_key").orderBy(F.desc("state"))
+    return read_snapshot(spark, root, "laws").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "state")

@@ -76,7 +76,12 @@ def test_stream_is_idempotent(spark, tmp_path):
         q = upsert_stream(spark.readStream.schema(INC).parquet(src), root, str(tmp_path / f"ckpt{n}"))
         q.awaitTermination(120)
         assert q.exception() is None
-    v = readers.read_snapshot(spark, root, "law_versions")
+    assert len(readers._states(spark, root)) == 2  # the second run added nothing
+    assert spark.read.parquet(f"{root}/{readers._states(spark, root)[1][1]}/law_versions").count() == 2  # only what is new is written
+    v = V.derive_current(readers.read_snapshot(spark, root, "law_versions"))
+    assert {r.source_key: r.title for r in readers.read_laws(spark, root).collect()}["k9"] == "新"
+    chunks = readers.read_snapshot(spark, root, "law_chunks")
+    assert chunks.join(v.where("is_current"), "version_id", "left_semi").count() == 2
     assert sorted((r.version_no, r.content_hash, r.is_current) for r in v.collect()) == [(1, "a", False), (1, "z", True), (2, "b", True)]
 
 
@@ -94,3 +99,90 @@ def test_fetching():
 
     with pytest.raises(readers.Blocked):
         readers.fetch_with_retry(lambda u: readers.Page(u, "", "", 403), "u", sleep=lambda s: None)
+
+
+def test_a_crash_leaves_the_state_before(spark, tmp_path, monkeypatch):
+    import pytest
+
+    root = str(tmp_path / "s")
+    one = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(FileNotFoundError):
+        readers.read_snapshot(spark, root, "t")
+    readers.write_snapshot({"t": one}, root, "a")
+
+    def crash(*a):
+        raise KeyboardInterrupt
+
+    commit = readers._commit
+    monkeypatch.setattr(readers, "_commit", crash)
+    with pytest.raises(KeyboardInterrupt):
+        readers.write_snapshot({"t": one.union(one)}, root, "b")
+    assert readers.read_snapshot(spark, root, "t").count() == 1
+    monkeypatch.setattr(readers, "_commit", commit)
+    readers.append_snapshot({"t": one}, root, "c")
+    assert readers.read_snapshot(spark, root, "t").count() == 2
+    readers.write_snapshot({"t": one}, root, "d")
+    assert readers.read_snapshot(spark, root, "t").count() == 1
+    # two writers of one number: the second fails
+    monkeypatch.setattr(readers, "_states", lambda *a: [(2, "c", True, ["t"])])
+    with pytest.raises(Exception, match="exist"):
+        readers.append_snapshot({"t": one}, root, "e")
+    # a number whose content isn't there yet doesn't count
+    monkeypatch.undo()
+    (tmp_path / "s" / "_states" / "000000000009").write_text("whole half")
+    assert readers.read_snapshot(spark, root, "t").count() == 1
+
+
+def test_early_unchanged(spark):
+    meta = '{"parser_revision": 3, "attachments": {"parsed": 1}}'
+    laws = spark.createDataFrame([(i, f"k{i}", "甲", None, "u", AT, None) for i in range(1, 6)], LAW)
+    v = [(1, 1, 2, "h", "本文", meta), (2, 2, 1, "h", "本文\n\n附件：a.pdf\n附", meta), (3, 3, 1, "h", "本文", '{"parser_revision": 3}'), (4, 4, 1, "h", "本文", meta.replace("3", "2")), (5, 5, 1, "h", "本文又", meta)]
+    versions = spark.createDataFrame([(i, law, n, h, t, m, False, AT) for i, law, n, h, t, m in v], VER)
+    body = spark.createDataFrame([(f"k{i}", "本文") for i in range(1, 7)], "source_key string, body string")
+    assert {r.source_key: (r.status, r.version_no) for r in V.unchanged_early(body, laws, versions).collect()} == {"k1": ("unchanged", 2), "k2": ("unchanged", 1), "k4": ("reprocess_required", 1)}
+    assert [(r.version_no, r.is_current) for r in V.version_list(versions, laws.where("law_id = 1")).collect()] == [(2, True)]
+
+
+def test_chunks_and_vectors_of_new_versions(spark):
+    laws, versions = state(spark, [])
+    rows = inc(spark, ("k1", "x")).withColumn("raw_text", F.lit("第1條 甲\n第2條 乙\n\n附件：a.pdf\n第一頁"))
+    changed, added = V.upsert_rows(rows, laws, versions)
+    assert [r.title for r in changed.collect()] == ["新"]
+    c = V.version_chunks(added, lambda t: F.array(F.length(t).cast("float")), changed).orderBy("seq").collect()
+    assert [(r.article_label, r.heading, len(r.embedding)) for r in c] == [("第1條", None, 1), ("第2條", None, 1), ("附件1", "附件：a.pdf", 1)] and len({r.chunk_id for r in c}) == 3
+
+
+def test_preferences_and_conversations(spark):
+    import pytest
+
+    t = V.empty_tables(spark)
+    p = V.save_preference(V.save_preference(t["preferences"], "n", 5), "n", 7)
+    assert [tuple(r) for r in p.collect()] == [("n", 7)]
+    for bad, error in ((True, TypeError), (0, ValueError), (21, ValueError), ("8", TypeError)):
+        with pytest.raises(error):
+            V.save_preference(p, "n", bad)
+    conv = spark.createDataFrame([(1, "甲", AT), (2, "乙", AT)], V.SCHEMAS["conversations"])
+    msg = spark.createDataFrame([(1, 1, "user", "q", None, AT)], V.SCHEMAS["messages"])
+    assert {r.conversation_id: r.title for r in V.rename_conversation(conv, 2, "  丙  丁 ").collect()} == {1: "甲", 2: "丙 丁"}
+    with pytest.raises(ValueError):
+        V.rename_conversation(conv, 2, "  ")
+    assert [x.count() for x in V.delete_conversations(conv.where("conversation_id = 1"), conv, msg)] == [1, 0]
+
+
+def test_files_have_rows_and_reasons(spark, tmp_path):
+    import pytest
+
+    for name, content in (("a.pdf", b"%PDF-" + b"x" * 30), ("b.pdf", b"nothing"), ("c.pdf", b"%PDF-" + b"x" * 500), ("d.pdf", b"%PDF-scan")):
+        (tmp_path / name).write_bytes(content)
+
+    def read(c, cap):
+        return (None, "no PDF") if not c.startswith(b"%PDF-") else ([""], None) if c.endswith(b"scan") else (["甲" * 20, "", "", "", "乙"], None)
+
+    r = {x.path[-5:]: x for x in readers.saved_pdfs(spark, str(tmp_path), cap=100, read=read).collect()}
+    assert r["a.pdf"].text == "甲" * 20 + "\n\n乙" and {k: x.reason for k, x in r.items()} == {"a.pdf": None, "b.pdf": "no PDF", "c.pdf": "too large", "d.pdf": "no text to be found in it"}
+    h = {x.url[-5:]: x.reason for x in readers.saved_pages(spark, str(tmp_path), cap=100).collect()}
+    assert h["c.pdf"] == "too large" and h["a.pdf"] is None
+    assert readers.capped([b"ab", b"c"], 3) == b"abc"
+    for args in (([b"ab", b"cd"], 3), ([b""], 3, 4)):
+        with pytest.raises(readers.TooLarge):
+            readers.capped(*args)
