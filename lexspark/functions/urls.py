@@ -34,14 +34,31 @@ def source_key(url: Column, prefix: str = "lsid:", ids: Sequence[str] = ("id", "
     """A page's identity: its LSID, else its path with the first of its other ids, else the URL with sorted parameters."""
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
     named = [F.concat(F.lower(path), F.lit(f"?{i}="), parameter(url, i)) for i in ids]
-    pairs = F.array_sort(F.transform(parameters(url), lambda p: F.concat(p["name"], F.lit("="), p["value"])))
-    plain = F.concat(F.lower(F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit(""))), F.lit("://"), F.coalesce(host(url), F.lit("")), path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
+    pairs = F.transform(F.array_sort(parameters(url)), lambda p: F.concat(encoded(p["name"]), F.lit("="), encoded(p["value"])))
+    plain = F.concat(F.lower(F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit(""))), F.lit("://"), F.lower(F.coalesce(F.try_parse_url(url, F.lit("AUTHORITY")), F.lit(""))), path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
     return F.coalesce(F.concat(F.lit(prefix), lsid(url)), *named, plain)
 
 
+def encoded(c: Column) -> Column:
+    """A parameter's name or value as it stands in an address."""
+    return F.replace(F.replace(F.url_encode(c), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def print_url(url: Column, page: str = "print.aspx") -> Column:
-    """The print view of the law that a URL shows; null without an LSID."""
-    return F.concat(F.lit("https://"), host(url), F.lit(f"/{page}?lsid="), lsid(url))
+    """The print view of the law that a URL shows, of the same date where it names one (ldate); null without an LSID."""
+    date = parameter(url, "ldate")
+    place = F.concat(F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("https")), F.lit("://"), F.try_parse_url(url, F.lit("AUTHORITY")))
+    return F.concat(place, F.lit(f"/{page}?lsid="), encoded(lsid(url)), F.coalesce(F.concat(F.lit("&ldate="), encoded(date)), F.lit("")))
+
+
+def category_urls(codes: Sequence[str], known: dict[str, str]) -> list[str]:
+    """The addresses of category codes, each once, in order; blank codes are left out, unknown ones an error, and so are none at all."""
+    wanted = list(dict.fromkeys(c.strip().upper() for c in codes if c.strip()))
+    if not wanted:
+        raise ValueError("no category code")
+    if strange := [c for c in wanted if c not in known]:
+        raise ValueError(f"unknown category {strange[0]}; known: {', '.join(sorted(known))}")
+    return [known[c] for c in wanted]
 
 
 def is_detail_url(url: Column) -> Column:
