@@ -37,10 +37,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from lexspark.plans import text_queries  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(SQL)
 
 
