@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.runtime import cut
+
 #: Words of the trie at most, and letters of a word.
 VOCABULARY, WORD = 20_000, 24
 #: What a sign that looks like several letters costs the automaton, what any other difference costs, and what a match may cost.
@@ -211,10 +213,10 @@ def look_classes(texts: DataFrame, words: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([digest(canon.text(s)) for s in raw], pa.binary()), pa.array([digest(s) for s in raw], pa.binary())], schema=schema)
 
     src = texts.select("field_name", F.col("scope").cast("long").alias("scope"), F.col("id").cast("long").alias("id"), "t").where("t is not null and id is not null")
-    forms = src.mapInArrow(run, "field_name string, scope long, id long, look binary, spelled binary")
+    forms = cut(src.mapInArrow(run, "field_name string, scope long, id long, look binary, spelled binary"))  # texts are read once, two digests a record kept
     key = ["field_name", "scope", "look"]
     mixed = forms.groupBy(*key).agg(F.min("spelled").alias("lo"), F.max("spelled").alias("hi")).where("lo <> hi").select(*key)
-    some = forms.join(mixed, key, "left_semi").distinct()
+    some = cut(forms.join(mixed, key, "left_semi").distinct())
     n = some.groupBy(*key, "spelled").agg(F.count("*").alias("n"))
     links = n.join(n.groupBy(*key).agg(F.sum("n").alias("all")), key).select(*key, "spelled", (F.col("all") - F.col("n")).alias("links"))
     return some.join(links, [*key, "spelled"]).select("field_name", "scope", "id", "look", "spelled", "links")
@@ -228,7 +230,7 @@ def same_look(texts: DataFrame, words: list[str] | None = None, block: int = 2_0
     spread over its pairs of blocks.
     """
     key = ["field_name", "scope", "look"]
-    some = look_classes(texts, words).select(*key, "spelled", "id")
+    some = cut(look_classes(texts, words).select(*key, "spelled", "id"))
     sizes = some.groupBy(*key, "spelled").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     # Copies of a spelling get their block by their id; the number of blocks goes to them as a small row for each spelling.
     placed = some.join(sizes, [*key, "spelled"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
