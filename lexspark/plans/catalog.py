@@ -316,6 +316,14 @@ def corpus_stats(spark, d):
     return n.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("avgdl"), F.max("dl").alias("longest"))
 
 
+@query(f"WITH {_CUR}, {_index_sql('cur', 'chunk_id', list(R.INDEXED))}, n AS (SELECT doc, count(*) AS dl FROM ix GROUP BY 1) SELECT (SELECT count(*) FROM cur) AS n, (SELECT round(sum(dl)::DOUBLE / (SELECT count(*) FROM cur), 6) FROM n) AS avgdl, (SELECT count(DISTINCT term) FROM ix) AS terms, (SELECT count(*) FROM (SELECT DISTINCT doc, term FROM ix)) AS postings")
+def index_stats(spark, d):
+    """What the index holds: built by the first search of a session, and read by all."""
+    i = _index(spark, d)
+    one = i.table("stats").select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(i.table("terms").agg(F.count("*").alias("terms")))  # one row each
+    return one.crossJoin(i.table("postings").agg(F.count("*").alias("postings")))
+
+
 _BM25 = f"""
 qt AS (SELECT query_id, {_tok("query")} AS t FROM qx),
 qg AS (SELECT DISTINCT query_id, t AS term FROM qt UNION SELECT query_id, substr(t, i, n) FROM (SELECT query_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM qt, (SELECT unnest([2, 3]) AS n))),
