@@ -236,6 +236,30 @@ def hash_embedding(c: Column, dim: int = 384) -> Column:
     return embed(c)
 
 
+def md5_embedding(c: Column, dim: int = 64) -> Column:
+    """The same idea with MD5, in doubles, as SQL can do it (``hash_embedding_md5`` gives its places one by one)."""
+
+    @pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def code(g: str) -> int:
+            x = int(hashlib.md5(g.encode()).hexdigest()[:8], 16)
+            known[g] = y = (x % dim + 1) * (-1 if x >> 31 else 1)
+            return y
+
+        def one(t: str | None) -> np.ndarray:
+            s = "".join((t or "").lower().split())
+            runs = [*s, *map("".join, zip(s, s[1:])), *map("".join, zip(s, s[1:], s[2:]))]
+            at = np.fromiter((known.get(g) or code(g) for g in runs), np.int64, len(runs))
+            v = np.bincount(np.abs(at) - 1, np.sign(at), dim)
+            return v / (np.linalg.norm(v) or 1.0)
+
+        return texts.map(one)
+
+    return embed(c)
+
+
 def remote_embedding(client: Callable[[list[str]], list[list[float]]], dim: int, batch: int = 64) -> Callable[[Column], Column]:
     """An embedder for ``build_index`` and ``hybrid_topk`` behind a client that is passed in; a wrong number or length of vectors is an error."""
 
@@ -312,7 +336,7 @@ def _sparse(v: Column) -> Column:
     return F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x"))), lambda p: p["x"] != 0)
 
 
-def _without_candidates(asked: DataFrame, index: Index, wanted: tuple[DataFrame, list[int], bool], titles: DataFrame, k: int, weight: float) -> DataFrame | None:
+def _without_candidates(asked: DataFrame, index: Index, wanted: tuple[DataFrame, list[int], bool], titles: DataFrame, k: int, permille: int) -> DataFrame | None:
     """``query_id, chunk_id``: the best k of all provisions for queries whose terms and titles stand nowhere; None if there are none.
 
     Nothing of such a query stands in a text, so a provision's words count only by defining something where the query asks for
@@ -334,13 +358,14 @@ def _without_candidates(asked: DataFrame, index: Index, wanted: tuple[DataFrame,
             v = np.array(pdf["cv"].tolist(), dtype=np.float64)
             for i in range(0, len(q), 2_000):
                 part = q.slice(i, 2_000)
-                s = np.round(np.clip(np.array(part.column("qv").to_pylist(), dtype=np.float64) @ v.T, 0, 1), 6) * weight
-                s = np.round(s + 0.55 * (1 - weight) * np.outer(part.column("defines").to_numpy(zero_copy_only=False), pdf["defined"].to_numpy()), 6)
+                vec = np.rint(np.clip(np.array(part.column("qv").to_pylist(), dtype=np.float64) @ v.T, 0, 1) * 1e6).astype(np.int64)
+                lex = 550_000 * np.outer(part.column("defines").to_numpy(zero_copy_only=False), pdf["defined"].to_numpy()).astype(np.int64)
+                s = (vec * permille + lex * (1_000 - permille) + 500) // 1_000
                 order = np.argsort(doc, kind="stable")
                 best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
                 yield pd.DataFrame({"query_id": np.repeat(part.column("query_id").to_numpy(), best.shape[1]), "chunk_id": doc[best.ravel()], "s": np.take_along_axis(s, best, 1).ravel()})
 
-    found = index.table("docs").select("chunk_id", "cv", (F.size("ps.defined") > 0).alias("defined")).mapInPandas(run, "query_id long, chunk_id long, s double")
+    found = index.table("docs").select("chunk_id", "cv", (F.size("ps.defined") > 0).alias("defined")).mapInPandas(run, "query_id long, chunk_id long, s long")
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "chunk_id")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("query_id", "chunk_id")
 
@@ -353,7 +378,7 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CAND
     by shared runs of three characters instead of words, without the gain for titles. ``only`` (``query_id, law_title``) keeps a
     query's hits to one law.
     """
-    docs = index.table("docs")
+    docs, permille = index.table("docs"), round(weight * 1_000)
     by_words = lexical != "trigram"
     q = queries.select("query_id", X.normalize_query(F.col("query")).alias("query")).withColumn("lex", X.expand_query(F.col("query")))
     # What the queries alone give is computed once: a row a query, read by every step below.
@@ -363,7 +388,7 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CAND
     top = bm25_topk(asked, index, candidates, wanted).select("query_id", F.col("doc").alias("chunk_id"))
     by_title = docs.select("chunk_id", "law_title").join(titles, docs.law_title == titles.title).select("query_id", "chunk_id")
     pairs = top.withColumn("named", F.lit(False)).unionByName(by_title.withColumn("named", F.lit(True)))
-    if (rest := _without_candidates(asked, index, wanted, titles, k, weight)) is not None:
+    if (rest := _without_candidates(asked, index, wanted, titles, k, permille)) is not None:
         pairs = pairs.unionByName(rest.withColumn("named", F.lit(False)))
     pairs = pairs.groupBy("query_id", "chunk_id").agg(F.max("named").alias("named"))
     sides = asked.select("query_id", _sparse(F.col("qv")).alias("qv"), "qs", "qt")
@@ -377,8 +402,10 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CAND
         lex = F.least(F.lit(1.0), X.lexical_score(F.col("qs"), F.col("ps")) + F.when(F.col("named"), TITLE_BOOST).otherwise(0.0))
     else:
         lex = F.greatest(*(X.set_similarity(X.trigrams(c), F.col("qt")) for c in (F.col("content"), F.col("law_title"), F.concat("law_title", F.coalesce("article_label", F.lit(""))))))
-    scored = full.withColumns({"vector_score": F.round(vec, 6), "lexical_score": F.round(lex, 6)}).drop("qv", "cv", "named", "qs", "qt", "ps")
-    scored = scored.withColumn("hybrid_score", F.round(F.col("vector_score") * weight + F.col("lexical_score") * (1 - weight), 6))
+    # Scores are whole millionths: they weigh and compare the same everywhere.
+    scored = full.withColumns({"vm": F.round(vec * 1e6).cast("long"), "lm": F.round(lex * 1e6).cast("long")})
+    mixed = F.floor((F.col("vm") * permille + F.col("lm") * (1_000 - permille) + 500) / 1_000) / 1e6
+    scored = scored.withColumns({"vector_score": F.col("vm") / 1e6, "lexical_score": F.col("lm") / 1e6, "hybrid_score": mixed}).drop("qv", "cv", "named", "qs", "qt", "ps", "vm", "lm")
     w = Window.partitionBy("query_id").orderBy(F.desc("hybrid_score"), "chunk_id")
     return scored.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).withColumn("retrieval_mode", F.lit("hybrid"))
 

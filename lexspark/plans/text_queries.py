@@ -15,7 +15,7 @@ from lexspark.operators import ingest as I
 from lexspark.operators import retrieval as R
 from lexspark.operators import selection as S
 from lexspark.operators import versioning as V
-from lexspark.plans.catalog import _CANON, _HITS, _WS, _any, _asked, _hits, _laws, _sq, _versions, query
+from lexspark.plans.catalog import _BM25, _CANON, _CUR, _HITS, _TIDY, _TITLES, _WS, _any, _asked, _hits, _index, _index_sql, _laws, _sq, _versions, query
 from lexspark.runtime import table
 
 _CASES = "(SELECT DISTINCT case_id, query FROM eval_cases WHERE query IS NOT NULL)"
@@ -329,3 +329,80 @@ def print_urls(spark, d):
 @query(f"SELECT DISTINCT page_id, CASE WHEN {_LSID} <> '' THEN contains(lower({_PART.format(u='url', i=3)}), 'law') OR contains(lower({_PART.format(u='url', i=3)}), '/print') ELSE regexp_matches(lower({_PART.format(u='url', i=3)}), 'law|detail|content|show|view') END AS detail FROM fetched_pages")
 def detail_urls(spark, d):
     return table(spark, d, "fetched_pages").select("page_id", U.is_detail_url(F.col("url")).alias("detail")).distinct()
+
+
+# ---- hybrid search with vectors that SQL can make
+
+_PLAIN = f"regexp_replace({_TIDY}, '[{_WS}]+', ' ', 'g')"
+
+
+def _tok(x: str) -> str:
+    return f"unnest(regexp_extract_all(lower({x}), '[\\x{{3400}}-\\x{{9fff}}A-Za-z0-9]+'))"
+
+
+_ALL_CJK = "regexp_full_match(t, '[\\x{3400}-\\x{9fff}]+')"
+_RUN = "regexp_replace(lex, '[^\\x{3400}-\\x{9fff}]', '', 'g')"
+_FOCUS_OF_LEX = _FOCUS.replace("w AS (SELECT", "fw AS (SELECT").replace("FROM u)", "FROM fu)").replace("p AS (SELECT", "fp AS (SELECT").replace("FROM w)", "FROM fw)").replace("FROM p)", "FROM fp)")
+_CASES_ONCE = "SELECT min(case_id) AS query_id, query FROM eval_cases WHERE query IS NOT NULL GROUP BY query"
+_HYBRID = rf"""{_CUR}, q0 AS ({_CASES_ONCE}), q AS (SELECT query_id, {_PLAIN} AS query FROM q0),
+lx AS (SELECT query_id, query || CASE WHEN {_any(_sq('query'), X.PENALTY_MARKERS)} THEN ' {X.PENALTY_WORDS}' ELSE '' END || CASE WHEN contains({_sq('query')}, '防火管理人') AND {_any(_sq('query'), X.SEVERAL_PLACES)} AND {_any(_sq('query'), X.APPOINTING)} THEN ' 不同場所 兼任' ELSE '' END AS lex FROM q),
+qx AS (SELECT query_id, lex AS query FROM lx), {_TITLES}, {_index_sql('cur', 'chunk_id', list(R.INDEXED))}, {_BM25},
+pairs AS (SELECT query_id, doc AS chunk_id FROM top WHERE rank <= 300 UNION SELECT query_id, chunk_id FROM best JOIN cur ON law_title = title),
+vt AS (SELECT 'q' AS kind, query_id AS id, {_sq('lower(query)')} AS t FROM q UNION ALL SELECT 'd', chunk_id, {_sq("lower(coalesce(law_title, '') || ' ' || coalesce(heading, '') || ' ' || coalesce(article_label, '') || ' ' || content)")} FROM cur),
+vg AS (SELECT kind, id, substr(t, i, n) AS g FROM (SELECT kind, id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM vt, (SELECT unnest([1, 2, 3]) AS n))),
+vh AS (SELECT kind, id, ('0x' || substr(md5(g), 1, 8))::BIGINT AS h FROM vg),
+vs AS (SELECT kind, id, h % 64 AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1 ELSE 1 END) AS s FROM vh GROUP BY ALL HAVING s <> 0),
+hv AS (SELECT kind, id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY kind, id)) AS x FROM vs),
+vec AS (SELECT query_id, chunk_id, greatest(0, least(1, sum(a.x * b.x))) AS vec FROM pairs JOIN hv a ON a.kind = 'q' AND a.id = query_id JOIN hv b ON b.kind = 'd' AND b.id = chunk_id AND b.bucket = a.bucket GROUP BY 1, 2),
+qt0 AS (SELECT query_id, {_tok('query')} AS t FROM qx), qg0 AS (SELECT query_id, t AS term FROM qt0 WHERE NOT {_ALL_CJK} UNION SELECT query_id, substr(t, i, n) FROM (SELECT query_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM qt0, (SELECT unnest([2, 3]) AS n)) WHERE {_ALL_CJK}),
+qn0 AS (SELECT query_id, count(*) AS n FROM qg0 GROUP BY 1),
+ft AS (SELECT chunk_id, 'c' AS f, {_tok('content')} AS t FROM cur UNION ALL SELECT chunk_id, 'h', {_tok("coalesce(heading, '')")} FROM cur UNION ALL SELECT chunk_id, 't', {_tok('law_title')} FROM cur),
+fg AS (SELECT chunk_id, f, t AS term FROM ft WHERE NOT {_ALL_CJK} UNION SELECT chunk_id, f, substr(t, i, n) FROM (SELECT chunk_id, f, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM ft, (SELECT unnest([2, 3]) AS n)) WHERE {_ALL_CJK}),
+sh AS (SELECT query_id, chunk_id, f, count(*) AS c FROM pairs JOIN fg USING (chunk_id) JOIN qg0 USING (query_id, term) GROUP BY 1, 2, 3),
+words AS (SELECT query_id, chunk_id, max(CASE f WHEN 'c' THEN c / n::DOUBLE WHEN 'h' THEN c / n::DOUBLE * 0.9 ELSE c / n::DOUBLE * 0.8 END) AS s FROM sh JOIN qn0 USING (query_id) GROUP BY 1, 2),
+dq AS (SELECT query_id, {_RUN} AS run, {_any('lex', X.DEFINITION_MARKERS)} AS explicit FROM lx WHERE {_any('lex', X.DEFINITION_MARKERS)} OR (NOT {_any('lex', X.ACTION_MARKERS)} AND ({_any('lex', X.IDENTITY_MARKERS)} OR (contains(lex, '的') AND length({_RUN}) BETWEEN 1 AND 30)))),
+dd AS (SELECT chunk_id, unnest(regexp_extract_all(content, '所稱[{_WS}]*([\x{{3400}}-\x{{9fff}}A-Za-z0-9（）()]{{2,24}}?)[{_WS}]*(?:，|、|：|:|係指|是指)', 1)) AS term FROM cur),
+dfn AS (SELECT query_id, chunk_id, max(CASE WHEN contains(run, term) THEN 1.0 WHEN explicit THEN 0.55 ELSE 0.0 END)::DOUBLE AS s FROM pairs JOIN dq USING (query_id) JOIN dd USING (chunk_id) GROUP BY 1, 2),
+fu AS (SELECT query_id AS case_id, lex AS x FROM lx), {_FOCUS_OF_LEX},
+foc AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS s FROM pairs JOIN cur USING (chunk_id) JOIN fo ON case_id = query_id WHERE contains(lower(concat_ws(' ', law_title, article_label, heading, content)), lower(t)) GROUP BY 1, 2),
+ah AS (SELECT query_id, unnest(regexp_extract_all(lex, '第[{_WS}]*[{X.HINT_NUMERALS}0-9\-之]+[{_WS}]*條(?:[{_WS}]*之[{_WS}]*[一二三四五六七八九十百千0-9]+)?')) AS article_label FROM lx),
+ha AS (SELECT query_id, min({_CANON}) AS hint FROM ah GROUP BY 1 HAVING count({_CANON}) = 1), ca AS (SELECT chunk_id, {_CANON} AS canonical FROM cur),
+art AS (SELECT query_id, chunk_id, 1.0::DOUBLE AS s FROM pairs JOIN ha USING (query_id) JOIN ca USING (chunk_id) WHERE hint = canonical),
+sc0 AS (SELECT query_id, chunk_id, coalesce(vec, 0) AS vec, least(1, least(1, greatest(coalesce(words.s, 0), coalesce(dfn.s, 0), coalesce(art.s, 0), coalesce(foc.s, 0))) + CASE WHEN best.title IS NULL THEN 0 ELSE 0.12::DOUBLE END) AS lex, law_title, article_label
+FROM pairs JOIN cur USING (chunk_id) LEFT JOIN vec USING (query_id, chunk_id) LEFT JOIN words USING (query_id, chunk_id) LEFT JOIN dfn USING (query_id, chunk_id) LEFT JOIN art USING (query_id, chunk_id) LEFT JOIN foc USING (query_id, chunk_id) LEFT JOIN best ON best.query_id = pairs.query_id AND title = law_title),
+sm AS (SELECT *, CAST(round(vec * 1e6) AS BIGINT) AS vm, CAST(round(lex * 1e6) AS BIGINT) AS lm FROM sc0), hy AS (SELECT *, (vm * 300 + lm * 700 + 500) // 1000 AS hm FROM sm),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hm DESC, chunk_id) AS pos FROM hy)"""
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, pos, chunk_id, vm / 1e6 AS vector_score, lm / 1e6 AS lexical_score, hm / 1e6 AS hybrid_score FROM ranked WHERE pos <= 8")
+def hybrid_md5_topk(spark, d):
+    """The best provisions of all queries by words and MD5 vectors together."""
+    h = R.hybrid_topk(_asked(spark, d), _index(spark, d, R.md5_embedding), 8, embed=R.md5_embedding)
+    return h.select("query_id", "pos", "chunk_id", "vector_score", "lexical_score", "hybrid_score")
+
+
+_WITH_TITLES = _HYBRID.replace(f"q0 AS ({_CASES_ONCE})", f"q0 AS ({_CASES_ONCE} UNION ALL SELECT 1000000 + min(law_id), law_title || '第三條' FROM l GROUP BY law_title)")
+
+
+@query(
+    f"""WITH {_WITH_TITLES}, sp AS (SELECT query_id, min(title) AS title FROM best GROUP BY 1 HAVING count(*) = 1), sc1 AS (SELECT query_id, title, hint FROM sp JOIN ha USING (query_id)),
+ex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY law_title, seq, chunk_id) AS pos, chunk_id FROM sc1 JOIN cur ON law_title = title JOIN ca USING (chunk_id) WHERE canonical = hint)
+SELECT query_id, pos, chunk_id, 'exact_article' AS retrieval_mode, 1.0::DOUBLE AS hybrid_score FROM ex WHERE pos <= 8 UNION ALL SELECT query_id, pos, chunk_id, 'hybrid', hm / 1e6 FROM ranked WHERE pos <= 8 AND query_id NOT IN (SELECT query_id FROM sc1)"""
+)
+def routed_md5_search(spark, d):
+    """All queries, and the third article of every title: exact where a query names one article of one law."""
+    titles = _laws(spark, d).groupBy("title").agg((F.min("law_id") + 1000000).alias("query_id")).select("query_id", F.concat("title", F.lit("第三條")).alias("query"))
+    asked = _asked(spark, d).unionByName(titles)
+    return R.search(asked, _index(spark, d, R.md5_embedding), 8, embed=R.md5_embedding).select("query_id", "pos", "chunk_id", "retrieval_mode", "hybrid_score")
+
+
+@query(
+    f"""WITH {_HYBRID}, n AS (SELECT query_id, law_title AS t, article_label AS a FROM ranked WHERE pos <= 8), e AS (SELECT DISTINCT case_id, expected_law, expected_article FROM eval_cases SEMI JOIN q0 ON case_id = query_id),
+j AS (SELECT case_id, coalesce(contains(lower({_sq('t')}), lower({_sq('expected_law')})), FALSE) AS law, coalesce(lower({_sq('coalesce(a, chr(32))')}) = lower({_sq('expected_article')}), FALSE) AS art, {_sq("coalesce(expected_article, ' ')")} <> '' AS has FROM e LEFT JOIN n ON query_id = case_id),
+p AS (SELECT case_id, max(law) AS law_hit, max(CASE WHEN has THEN law AND art END) AS article_hit FROM j GROUP BY 1)
+SELECT count(*) AS cases, round(avg(CAST(law_hit AS INTEGER)), 6) AS law_hit_rate, round(avg(CAST(article_hit AS INTEGER)), 6) AS article_hit_rate FROM p"""
+)
+def retrieval_md5_eval(spark, d):
+    """The shares of cases whose law, and law and article, are among the eight best by words and vectors."""
+    cases = table(spark, d, "eval_cases").dropDuplicates(["case_id"]).select(F.col("case_id").alias("query_id"), "expected_law", "expected_article").join(_asked(spark, d).select("query_id"), "query_id", "left_semi")
+    return R.evaluate(R.hybrid_topk(_asked(spark, d), _index(spark, d, R.md5_embedding), 8, embed=R.md5_embedding), cases)
