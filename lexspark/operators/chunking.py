@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexspark.functions import text as X
 
+# How articles, references to their paragraphs, headings and points of three levels begin.
 _N = X.NUMERALS
 ARTICLE = rf"(?U)^(第\s*[{_N}\d\-之]+\s*條(?:\s*之\s*[{_N}\d]+)?)\s*(.*)$"
 REFERENCE = rf"(?U)^第\s*[{_N}\d]+\s*項"

@@ -21,6 +21,9 @@ CONTENT = ("main", "article", "#content", ".content", ".law-content", ".detail",
 GENERIC_TITLES = frozenset(("消防法令查詢系統", "內政部消防署法令查詢系統", "法規查詢", "法令查詢", "所有條文"))
 
 
+_SIMPLE = re.compile(r"([#.\[]?)([\w*-]+)(?:=(\"[^\"]*\"|'[^']*'|[^\]]*))?\]?")
+
+
 class Node:
     """An element: tag, attributes, children (elements and strings)."""
 
@@ -37,14 +40,40 @@ class Node:
             stack.extend(k for k in reversed(n.kids) if isinstance(k, Node))
 
     def fits(self, selector: str) -> bool:
-        if selector[0] == "#":
-            return self.attrs.get("id") == selector[1:]
-        if selector[0] == ".":
-            return selector[1:] in (self.attrs.get("class") or "").split()
-        return self.tag == selector
+        """Whether the element is what a selector without blanks names: a tag, ids, classes and attributes, together."""
+        for sign, name, value in _SIMPLE.findall(selector):
+            if sign == "#" and self.attrs.get("id") != name or sign == "." and name not in (self.attrs.get("class") or "").split():
+                return False
+            if sign == "[" and (name not in self.attrs or value and self.attrs[name] != value.strip("\"'")):
+                return False
+            if not sign and name != "*" and self.tag != name.lower():
+                return False
+        return True
+
+    def select(self, selector: str) -> Iterator[Node]:
+        """The elements below that a CSS selector names, in order: compounds, descendants (blank), children (>), lists (comma)."""
+        wanted = [re.findall(r"(>?)\s*([^\s>]+)", one.strip()) for one in selector.split(",") if one.strip()]
+        if len(wanted) == 1 and len(wanted[0]) == 1:  # no ancestors to look at
+            yield from (n for n in self.walk() if n is not self and n.fits(wanted[0][0][1]))
+            return
+
+        def reached(path: tuple[Node, ...], steps: list[tuple[str, str]]) -> bool:
+            if not path[-1].fits(steps[-1][1]):
+                return False
+            if len(steps) == 1:
+                return True
+            above = [len(path) - 2] if steps[-1][0] else range(len(path) - 2, 0, -1)
+            return any(i > 0 and reached(path[: i + 1], steps[:-1]) for i in above)
+
+        stack: list[tuple[Node, ...]] = [(self, k) for k in reversed(self.kids) if isinstance(k, Node)]
+        while stack:
+            path = stack.pop()
+            if any(reached(path, steps) for steps in wanted):
+                yield path[-1]
+            stack.extend((*path, k) for k in reversed(path[-1].kids) if isinstance(k, Node))
 
     def first(self, selector: str) -> Node | None:
-        return next((n for n in self.walk() if n.fits(selector)), None)
+        return next(self.select(selector), None)
 
     def text(self) -> str:
         out: list[str] = []
@@ -162,6 +191,7 @@ def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return src.mapInPandas(run, "page_id long, pos int, text string, link string")
 
 
+# Words of links that lead to no law, and words in the addresses of attachments (below).
 def law_links(pages: DataFrame, prefix: str = "lsid:", noise: tuple[str, ...] = ("回首頁", "回上一頁", "下一頁", "上一頁", "更多"), **cols) -> DataFrame:
     """The links of category pages to laws: on the page's own host, with a title, not repealed (廢…); one a law, the first."""
     from pyspark.sql.window import Window
@@ -205,13 +235,5 @@ def labelled_rows(html: Column) -> Column:
     return convert(html)
 
 
-def interpretation(pages: DataFrame, labels: tuple[str, ...] = ("發文字號", "發文日期", "主旨", "說明", "依據", "公告事項"), least: int = 80) -> DataFrame:
-    """``page_id, number, issued, title, body``: letters of interpretation among pages (``page_id, html``): with a number, a subject and a body long enough."""
-    rows = pages.select(F.col("page_id"), F.explode(labelled_rows(F.col("html"))).alias("r")).where(F.col("r.label").isin(*labels))
-    value = lambda x: F.max(F.when(F.col("r.label") == x, F.col("r.value")))
-    got = rows.groupBy("page_id").agg(value("發文字號").alias("number"), value("發文日期").alias("issued"), value("主旨").alias("title"), F.array_join(F.collect_list(F.when(F.col("r.label").isin("主旨", "說明", "依據", "公告事項"), F.concat_ws("：", "r.label", "r.value"))), "\n").alias("body"))
-    return got.where(F.col("number").isNotNull() & F.col("title").isNotNull() & (F.length("body") >= least))
-
-
 def same_host(url: str, allowed: str) -> bool:
     return (urlparse(url).hostname or "").lower() == allowed.lower()

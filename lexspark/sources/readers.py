@@ -90,10 +90,43 @@ class Page:
     text: str
     content_type: str
     status_code: int
+    retry_after: float | None = None
 
 
 class Blocked(Exception):
-    """The site refuses further requests (403 or 429)."""
+    """The site refuses further requests (403 or 429), or for ``retry_after`` seconds."""
+
+    def __init__(self, text: str, retry_after: float | None = None):
+        super().__init__(text)
+        self.retry_after = retry_after
+
+
+def decoded(body: bytes, content_type: str = "") -> str:
+    """A page's text: in the charset that its content type or its own head names, else UTF-8, else Big5, else what can be read."""
+    named = re.search(r"charset=[\"']?([\w-]+)", content_type, re.I) or re.search(rb"charset=[\"']?([\w-]+)", body[:2_048], re.I)
+    first = named[1] if named and isinstance(named[1], str) else named[1].decode() if named else None
+    for charset in (first, "utf-8", "cp950"):
+        try:
+            return body.decode(charset) if charset else body.decode("utf-8")
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return body.decode("utf-8", "replace")
+
+
+def one_page(get: Callable[[str], Page], url: str, cap: int = 1_000_000) -> Page:
+    """One page by one request of a client that follows nothing: a refusal, a redirect, no HTML or too large a page is an error."""
+    page = get(url)
+    if page.status_code in (403, 429):
+        raise Blocked(f"{page.status_code}: {url}", page.retry_after)
+    if 300 <= page.status_code < 400:
+        raise ValueError(f"redirected: {url}")
+    if page.status_code != 200:
+        raise ValueError(f"{page.status_code}: {url}")
+    if not re.match(r"(?:text/html|application/xhtml\+xml)\b", page.content_type, re.I):
+        raise ValueError(f"no HTML but {page.content_type}: {url}")
+    if len(page.text.encode()) > cap:
+        raise TooLarge(url)
+    return page
 
 
 def fetch_with_retry(get: Callable[[str], Page], url: str, attempts: int = 3, delay: float = 2.0, sleep: Callable[[float], None] = time.sleep) -> Page:
@@ -108,7 +141,7 @@ def fetch_with_retry(get: Callable[[str], Page], url: str, attempts: int = 3, de
             sleep(min(5.0, 0.7 * 2 ** (n - 1)))
             continue
         if page.status_code in (403, 429):
-            raise Blocked(f"{page.status_code}: {url}")
+            raise Blocked(f"{page.status_code}: {url}", page.retry_after)
         return page
     raise AssertionError
 

@@ -22,7 +22,9 @@ def test_text_and_title(spark):
     assert r[0].t == "第1條 " + "甲" * 120 + "\n第2條 乙" and r[0].n == "甲規則" and r[1].t == "短" and r[2].t is None
 
 
-def test_interpretation(spark):
-    rows = "<table><tr><td>發文字號：</td><td>消署預字第1號</td></tr><tr><td>發文日期</td><td>113年1月2日</td></tr><tr><th>主旨</th><td>" + "有關甲乙" * 10 + "</td></tr><tr><td>說明</td><td>" + "復貴局" * 20 + "</td></tr></table>"
-    r = H.interpretation(pages(spark, rows, PAGE)).collect()
-    assert len(r) == 1 and r[0].number == "消署預字第1號" and r[0].body.startswith("主旨：")
+def test_selectors():
+    root = H.parse('<div id="a" class="x y"><p>1</p><ul><li class="x">2</li><li data-k="v">3</li></ul></div><p class="x">4</p>')
+    said = lambda q: [n.text().strip() for n in root.select(q)]
+    assert said("p") == ["1", "4"] and said("div.x.y#a p") == ["1"] and said("div li.x, p.x") == ["2", "4"]
+    assert said("div > li") == [] and said("div > ul > li") == ["2", "3"] and said("[data-k]") == said('li[data-k="v"]') == ["3"] and said("[data-k=w]") == []
+    assert root.first("h1") is None and said("*.x > p") == ["1"]
