@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -24,6 +25,11 @@ GENERIC_TITLES = frozenset(("消防法令查詢系統", "內政部消防署法
 _SIMPLE = re.compile(r"([#.\[]?)([\w*-]+)(?:=(\"[^\"]*\"|'[^']*'|[^\]]*))?\]?")
 
 
+@lru_cache(maxsize=1024)
+def _simple(selector: str) -> list[tuple[str, str, str]]:
+    return _SIMPLE.findall(selector)
+
+
 class Node:
     """An element: tag, attributes, children (elements and strings)."""
 
@@ -41,7 +47,7 @@ class Node:
 
     def fits(self, selector: str) -> bool:
         """Whether the element is what a selector without blanks names: a tag, ids, classes and attributes, together."""
-        for sign, name, value in _SIMPLE.findall(selector):
+        for sign, name, value in _simple(selector):
             if sign == "#" and self.attrs.get("id") != name or sign == "." and name not in (self.attrs.get("class") or "").split():
                 return False
             if sign == "[" and (name not in self.attrs or value and self.attrs[name] != value.strip("\"'")):
