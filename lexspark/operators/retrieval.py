@@ -105,12 +105,17 @@ def write_postings(docs: DataFrame, id_col: str, text_cols: list[str], path: str
     return index
 
 
-def build_index(chunks: DataFrame, path: str | None = None, embed: Callable[[Column], Column] | None = None) -> Index:
+def build_index(chunks: DataFrame, path: str | None = None, embed: Callable[[Column], Column] | None = None, postings: bool = True) -> Index:
     """The index of provisions as of ``current_chunks``: postings of all their columns, and ``docs`` with their vectors and terms.
 
-    ``embed`` makes the vectors (``cv``) from a provision's title, heading, label and content; without it hash vectors.
+    ``embed`` makes the vectors (``cv``) from a provision's title, heading, label and content; without it hash vectors. Without
+    ``postings`` there are only the provisions and titles, enough for ``search`` with ``scan.hybrid_topk``.
     """
     index = Index(chunks.sparkSession, path or shared_path(chunks.sparkSession, "index"))
+    if not postings:
+        chunks.write.parquet(f"{index.path}/docs")
+        index.table("docs").select(F.col("law_title").alias("title")).distinct().coalesce(tasks(index.spark)).write.parquet(f"{index.path}/titles")
+        return index
     text = F.concat_ws("\n", F.coalesce("law_title", F.lit("")), F.coalesce("heading", F.lit("")), F.coalesce("article_label", F.lit("")), "content")
     dl = F.size(F.concat(*(X.index_terms(F.coalesce(c, F.lit(""))) for c in INDEXED))).cast("long")
     full = chunks.withColumns({"dl": dl, "cv": (embed or hash_embedding)(text), "ps": X.provision_side(F.col("law_title"), F.col("article_label"), F.col("heading"), F.col("content"))})
@@ -237,25 +242,29 @@ def hash_embedding(c: Column, dim: int = 384) -> Column:
 
 
 def md5_embedding(c: Column, dim: int = 64) -> Column:
-    """The same idea with MD5, in doubles, as SQL can do it (``hash_embedding_md5`` gives its places one by one)."""
+    """The same idea with MD5, in doubles, as SQL can do it (``hash_embedding_md5`` gives its places one by one).
+
+    A run is a number of up to three signs of 21 bits (code points from 1 on); of each thousand texts every distinct one is hashed once.
+    """
 
     @pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-
-        def code(g: str) -> int:
-            x = int(hashlib.md5(g.encode()).hexdigest()[:8], 16)
-            known[g] = y = (x % dim + 1) * (-1 if x >> 31 else 1)
-            return y
-
-        def one(t: str | None) -> np.ndarray:
-            s = "".join((t or "").lower().split())
-            runs = [*s, *map("".join, zip(s, s[1:])), *map("".join, zip(s, s[1:], s[2:]))]
-            at = np.fromiter((known.get(g) or code(g) for g in runs), np.int64, len(runs))
-            v = np.bincount(np.abs(at) - 1, np.sign(at), dim)
-            return v / (np.linalg.norm(v) or 1.0)
-
-        return texts.map(one)
+        out: list[np.ndarray] = []
+        for i in range(0, len(texts), 1_000):
+            tidy = ["".join((t or "").lower().split()) for t in texts.iloc[i : i + 1_000]]
+            size = np.array([len(t) for t in tidy])
+            code = np.frombuffer("".join(tidy).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+            row, left = np.repeat(np.arange(len(tidy)), size), np.repeat(np.cumsum(size), size) - np.arange(len(code))
+            two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+            runs = np.concatenate([code, code[two] << 21 | code[two + 1], code[three] << 42 | code[three + 1] << 21 | code[three + 2]])
+            keys, at = np.unique(runs, return_inverse=True)
+            signs = np.stack([keys >> 42, keys >> 21 & 0x1FFFFF, keys & 0x1FFFFF], 1).tolist()
+            hashed = np.array([int(hashlib.md5("".join(chr(x - 1) for x in run if x).encode()).hexdigest()[:8], 16) for run in signs], np.int64)
+            place, sign = (hashed % dim)[at], np.where(hashed >> 31, -1, 1)[at]
+            v = np.bincount(np.concatenate([row, row[two], row[three]]) * dim + place, sign, len(tidy) * dim).reshape(-1, dim)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            out += list(v / np.where(norm > 0, norm, 1.0))
+        return pd.Series(out)
 
     return embed(c)
 
@@ -315,7 +324,7 @@ def matched_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
 
 def article_scope(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """``query_id, title, article``: the queries that name one article of one law."""
-    named = matched_titles(queries, titles).groupBy("query_id").agg(F.min("title").alias("title"), F.count("*").alias("c")).where("c = 1").drop("c")
+    named = longest_titles(cut(title_matches(queries, titles))).groupBy("query_id").agg(F.min("title").alias("title"), F.count("*").alias("c")).where("c = 1").drop("c")
     return queries.select("query_id", X.article_hint(F.col("query")).alias("article")).where("article is not null").join(named, "query_id")
 
 
@@ -410,15 +419,18 @@ def hybrid_topk(queries: DataFrame, index: Index, k: int, candidates: int = CAND
     return scored.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).withColumn("retrieval_mode", F.lit("hybrid"))
 
 
-def search(queries: DataFrame, index: Index, k: int = 8, **options) -> DataFrame:
-    """Routed search: exact provisions where a query names one article of one law (also when there is none), else hybrid."""
+def search(queries: DataFrame, index: Index, k: int = 8, hybrid: Callable[..., DataFrame] = hybrid_topk, **options) -> DataFrame:
+    """Routed search: exact provisions where a query names one article of one law (also when there is none), else hybrid.
+
+    ``hybrid`` is ``hybrid_topk``, or ``scan.hybrid_topk`` for very many queries.
+    """
     docs = index.table("docs")
     scope = cut(article_scope(queries, index.table("titles")))  # a row a query at most
     cols = ["query_id", "chunk_id", "law_id", "law_title", "version_no", "article_label", "heading", "content", "source_url", "hybrid_score", "retrieval_mode", "pos"]
     w = Window.partitionBy("query_id").orderBy("law_title", "seq", "chunk_id")
     exact = exact_article(scope, docs).withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k)
     rest = queries.join(scope.select("query_id"), "query_id", "left_anti")
-    return exact.select(*cols).unionByName(hybrid_topk(rest, index, k, **options).select(*cols))
+    return exact.select(*cols).unionByName(hybrid(rest, index, k, **options).select(*cols))
 
 
 def evaluate(hits: DataFrame, cases: DataFrame) -> DataFrame:

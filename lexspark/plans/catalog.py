@@ -59,7 +59,7 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 _INDEXES: dict[tuple, R.Index] = {}
 
 
-def _index(spark: SparkSession, d: str, embed=None) -> R.Index:
+def _index(spark: SparkSession, d: str, embed=None, postings: bool = True) -> R.Index:
     """The index of a data directory's current provisions: built by the first search of a session, read by all of them.
 
     Another index is built when the files of its tables change.
@@ -71,9 +71,9 @@ def _index(spark: SparkSession, d: str, embed=None) -> R.Index:
         system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         whole, file = system.getContentSummary(at), system.getFileStatus(at)
         state.append((whole.getLength(), whole.getFileCount(), file.getModificationTime()))
-    key = (spark.sparkContext.applicationId, d, embed, *state)
+    key = (spark.sparkContext.applicationId, d, embed, postings, *state)
     if key not in _INDEXES:
-        _INDEXES[key] = R.build_index(_current(spark, d), embed=embed)
+        _INDEXES[key] = R.build_index(_current(spark, d), embed=embed, postings=postings)
     return _INDEXES[key]
 
 

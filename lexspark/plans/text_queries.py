@@ -13,6 +13,7 @@ from lexspark.operators import chunking as C
 from lexspark.operators import evidence as E
 from lexspark.operators import ingest as I
 from lexspark.operators import retrieval as R
+from lexspark.operators import scan
 from lexspark.operators import selection as S
 from lexspark.operators import versioning as V
 from lexspark.plans.catalog import _BM25, _CANON, _CUR, _HITS, _TIDY, _TITLES, _WS, _any, _asked, _hits, _index, _index_sql, _laws, _sq, _versions, query
@@ -393,7 +394,7 @@ def routed_md5_search(spark, d):
     """All queries, and the third article of every title: exact where a query names one article of one law."""
     titles = _laws(spark, d).groupBy("title").agg((F.min("law_id") + 1000000).alias("query_id")).select("query_id", F.concat("title", F.lit("第三條")).alias("query"))
     asked = _asked(spark, d).unionByName(titles)
-    return R.search(asked, _index(spark, d, R.md5_embedding), 8, embed=R.md5_embedding).select("query_id", "pos", "chunk_id", "retrieval_mode", "hybrid_score")
+    return R.search(asked, _index(spark, d, postings=False), 8, hybrid=scan.hybrid_topk, embed=R.md5_embedding).select("query_id", "pos", "chunk_id", "retrieval_mode", "hybrid_score")
 
 
 @query(

@@ -61,12 +61,22 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read_rows(path: str):
-    """A parquet table of the shared folder inside a task, as an Arrow table."""
+def _parquet(path: str):
     import re
 
     from pyarrow import dataset, fs
 
     uri = re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", path))
     system, at = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
-    return dataset.dataset(at, filesystem=system, format="parquet").to_table()
+    return dataset.dataset(at, filesystem=system, format="parquet")
+
+
+def read_rows(path: str):
+    """A parquet table of the shared folder inside a task, as an Arrow table."""
+    return _parquet(path).to_table()
+
+
+def read_batches(path: str, columns: list[str]):
+    """Columns of a parquet table of the shared folder inside a task, batch by batch, in an order that is the same every time."""
+    for f in sorted(_parquet(path).get_fragments(), key=lambda f: f.path):
+        yield from f.to_batches(columns=columns, batch_size=8_192, batch_readahead=1, use_threads=False)
